@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framesift.llm import decontaminate, language_id, packing, quality, toxicity, url_filter, warc
+from framesift.llm.common import crc_fold
 from framesift.llm.simhash import near_duplicates
 from framesift.llm.substring_dedup import remove_repeats
+from framesift.llm.topk import top_k
+
+#: Where the vocabulary files are.
+TOKENIZERS = os.environ.get("FRAMESIFT_TOKENIZERS", "/opt/tokenizers")
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +27,118 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, crc_fold("doc_id", 4) != 2)
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", quality.held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def toxicity_categories() -> dict[str, object]:
+    """Labels of the chain: abuse with one of the listed words, abuse without any, and toxicity as labelled."""
+    listed = F.rlike(F.lower("text"), F.lit(r"\b(?:" + "|".join(toxicity.LISTED) + r")\b"))
+    return {"listed": (F.col("y") == 1) & listed, "unlisted": (F.col("y") == 1) & ~listed, "toxic": F.col("y") == 1}
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels, toxicity_categories()))
+    return found.select("doc_id", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"), "p_listed", "p_unlisted")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", window=1024)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, keep=crc_fold("doc_id", 3) != 1)
+    found = quality.score(docs.select("doc_id", "text"), model)
+    score = F.col("quality_score")
+    return found.select("doc_id", quality.held_out(3, 1).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.captures(table(spark, sf_dir, "pages")))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(F.lower(e["key"]), F.lit(": "), e["value"])))
+    return found.select("record_id", "kind", "url_key", "outcome", "refers_to", "payload", F.array_join(lines, "\n").alias("headers"))
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES = {
-    "op1_substring_dedup": op1_substring_dedup,
-    "op10_simhash_near_dedup": op10_simhash_near_dedup,
-}
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_language_id, op3_decontamination, op4_toxicity, op5_packing,
+        op6_quality, op7_topk, op8_warc_revisits, op9_url_filters, op10_simhash_near_dedup,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER_LOWER = f"'{url_filter.UPPER}', '{url_filter.LOWER}'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        with d as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+        s as (select r, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35),
+        k as (select s.r, s.i, sha256(array_to_string(d.w[s.i:s.i + 34], ' ')) as h from s join d using (r)),
+        rep as (select r, i from k where h in (select h from k group by h having count(*) > 1)),
+        gone as (select distinct r, unnest(range(i, i + 35)) as p from rep),
+        cut as (select r, list(p) as ps, count(*) as n from gone group by r)
+        select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed,
+            sha256(array_to_string(list_filter(w, lambda x, p: not list_contains(coalesce(ps, []), p)), ' ')) as kept_sha256
+        from d left join cut using (r)""",
+    "op7_topk": """
+        with v as (select vec_id, list_transform(embedding, lambda e: cast(floor(1024 * cast(e as double)) as bigint)) as x from embeddings
+            where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0),
+        p as (select q.vec_id as query_id, c.vec_id as vec_id, cast(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) as bigint) as score
+            from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(c.x) = len(q.x)),
+        r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from p)
+        select query_id, rank, vec_id, score from r where rank <= 10""",
+    "op8_warc_revisits": """
+        with p as (select page_id, url, md5(coalesce(html, '')) as digest, octet_length(encode(coalesce(html, ''))) as n from pages),
+        r as (
+            select 2 * page_id as record_id, 'response' as kind, url, page_id as ts, '"' || digest || '"' as etag, digest, n, '0' as expires from p
+            union all
+            select 2 * page_id + 1, 'revisit', url || case when contains(url, '#') then '' when contains(url, '?') then '&utm_source=again' else '?utm_source=again' end, page_id + 1000000,
+                case when page_id % 10 = 0 then '"changed"' else '"' || digest || '"' end, null, 0, case when page_id % 6 = 0 then '600' else '0' end from p where page_id % 2 = 0),
+        a as (select *, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') as rest from r),
+        b as (select *, regexp_extract(rest, '^([^?]*)', 1) as address, list_sort(list_filter(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&'), lambda x: not starts_with(x, 'utm_') and x <> '')) as query from a),
+        c as (select record_id, kind, ts, etag, digest, n, expires,
+            regexp_replace(lower(regexp_extract(address, '^([^/]*)', 1)), '^www\\.|:(?:80|443)$', '', 'g') || regexp_replace(regexp_extract(address, '^[^/]*(.*)$', 1), '/+$', '')
+            || case when len(query) > 0 then '?' || array_to_string(query, '&') else '' end as url_key from b),
+        f as (select * from c where kind = 'response'),
+        m as (select c.*, (select max(f.ts) from f where f.url_key = c.url_key and f.ts < c.ts) as base_ts from c),
+        j as (select m.*, f.record_id as base_id, f.etag as base_etag, f.digest as base_digest, f.n as base_n from m left join f on m.kind = 'revisit' and f.url_key = m.url_key and f.ts = m.base_ts),
+        o as (select *, case when kind = 'response' then 'response' when base_id is null then 'orphan' when base_etag = etag then 'resolved' else 'mismatch' end as outcome from j)
+        select record_id, kind, url_key, outcome, case when outcome = 'resolved' then base_id end as refers_to,
+            case when kind = 'response' then digest when outcome = 'resolved' then base_digest end as payload,
+            case when kind = 'response' or outcome = 'resolved' then
+                'content-length: ' || case when kind = 'response' then n else base_n end || chr(10) || 'content-type: text/html' || chr(10)
+                || 'etag: ' || case when kind = 'revisit' then 'W/' else '' end || etag || chr(10) || 'expires: ' || expires
+            else 'content-length: 0' || chr(10) || 'etag: ' || case when etag = '"changed"' then '' else 'W/' end || etag || chr(10) || 'expires: ' || expires end as headers
+        from o""".replace("\\\\", "\\"),
+    "op9_url_filters": f"""
+        with a as (select page_id, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+        b as (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as h from a),
+        c as (select page_id, translate(h, {_UPPER_LOWER}) as host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') as path from b),
+        r(verdict, rhost, rpath) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        m as (select c.page_id, c.host, c.path, max_by({{'rule': rhost || rpath, 'verdict': verdict}}, length(rhost) + length(rpath)) as best
+            from c join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by all)
+        select c.page_id, c.host, c.path, best.rule as rule, coalesce(best.verdict, 'allow') as verdict from c left join m using (page_id, host, path)""",
+}
