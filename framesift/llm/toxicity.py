@@ -35,7 +35,7 @@ def terms(text: str | None) -> set[str]:
     return words | {w[:n] + "-" for w in words for n in HEADS if len(w) > n}
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int = 12) -> np.ndarray:
     """Weights, the intercept last, by Newton steps on a penalised log loss."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
