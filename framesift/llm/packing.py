@@ -13,8 +13,11 @@ table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +31,33 @@ from framesift.llm.common import Cached, materialize
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the space before it, or white space without the last of a run: the tokenizer never joins across these.
 CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Fixed value: the byte-level tokenizer's pattern of words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """Ids of a text as 16-bit numbers. The tokenizer sees each distinct chunk once while it is remembered."""
+    """Ids of a text as 16-bit numbers, as the `tokenizers` file gives them. Each distinct chunk is encoded once while it is remembered.
 
-    def __init__(self, path: str):
+    With `ranks`, the same vocabulary as byte-pair ranks, chunks are encoded by tiktoken, which is faster on short strings.
+    Texts with a special token's string always go through `tokenizers` whole.
+    """
+
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values()) if t]
-        self.chunks = Cached(lambda c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u2").tobytes(), 1 << 18)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
+        self.special = [t for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values()) if t]
+        encode = lambda c: self.tokenizer.encode(c, add_special_tokens=False).ids
+        if ranks:
+            import tiktoken
+
+            with open(ranks, "rb") as lines:
+                known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+            encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=known, special_tokens={}).encode_ordinary
+        self.chunks = Cached(lambda c: array("H", encode(c)).tobytes(), 1 << 19)
 
     def __call__(self, text: str | None, end: int = 0) -> np.ndarray:
         if not text:
@@ -51,16 +67,22 @@ class Encoder:
         return np.frombuffer(b"".join(map(self.chunks.__getitem__, CHUNK.findall(text))) + end.to_bytes(2, "little"), "<u2")
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str, ranks: str | None) -> Encoder:
+    """One a Python worker, for all its tasks."""
+    return Encoder(path, ranks)
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def encoded(docs: DataFrame, tokenizer: str, window: int) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, ranks: str | None, window: int) -> DataFrame:
     """A row for each document: its length, checksums of its full windows, its tail; and rows of document frequencies, a few for each task."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encode, df = Encoder(tokenizer), np.zeros(1 << 16, np.int64)
+        encode, df = encoder(tokenizer, ranks), np.zeros(1 << 16, np.int64)
         for b in batches:
             out = [[], [], []]
             for text in b.column("text").to_pylist():
@@ -193,10 +215,10 @@ def _packer(idf: np.ndarray, mean: float, window: int, shard_rows: int, terms: i
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, shard_rows: int = 1024, terms: int = 16, rows_per_task: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int = 1024, shard_rows: int = 1024, terms: int = 16, rows_per_task: int = 4096) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = materialize(encoded(docs, tokenizer, window), "packing-ids")
+    rows = materialize(encoded(docs, tokenizer, ranks, window), "packing-ids")
     counts = rows.where("seen is not null").select(F.explode(F.arrays_zip("seen", "df")).alias("x")).groupBy("x.seen").agg(F.sum("x.df").alias("df")).collect()  # one row an id of the vocabulary
     whole = rows.where("doc_tokens is not null")
     tails = whole.where(F.octet_length("tail") > 0).select("doc_id", "doc_tokens", "tail")
