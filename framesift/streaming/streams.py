@@ -27,10 +27,10 @@ def windowed_counts(rows: DataFrame, label: str, size: str = "1 hour", slide: st
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), label, "n")
 
 
-def diverse_select(rows: DataFrame, k: int, gap: float, time: str = "ts", delay: str = "1 hour", expire: str = "2 hours") -> DataFrame:
+def diverse_select(rows: DataFrame, k: int, gap: float, time: str = "ts", delay: str = "1 hour", expire_ms: int = 7_200_000) -> DataFrame:
     """In order of arrival: a row is taken if it is at least `gap` seconds from all taken of its video, at most k of them.
 
-    Not the batch selection, as later scores are unknown. State is at most k times a video, and goes when the watermark passes.
+    Not the batch selection, as later scores are unknown. State is at most k times a video, and goes `expire_ms` of event time after the video's last rows.
     """
     schema = "video_id long, frame_id long, t_sec double"
 
@@ -48,8 +48,7 @@ def diverse_select(rows: DataFrame, k: int, gap: float, time: str = "ts", delay:
             if out:
                 yield pd.DataFrame(out, columns=["video_id", "frame_id", "t_sec"])
         state.update((taken,))
-        ms = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(ms, 0) + 1, expire) if ms >= 0 else None
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + expire_ms)
 
     marked = rows.withWatermark(time, delay).select("video_id", "frame_id", "t_sec", time)
     return marked.groupBy("video_id").applyInPandasWithState(step, schema, "taken array<double>", "append", GroupStateTimeout.EventTimeTimeout)
