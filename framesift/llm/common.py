@@ -39,16 +39,20 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Cached(dict):
-    """Value of a function by key, forgotten when full so that a worker's memory stays bounded."""
+    """Value of a function by key. When full, what was not asked for since the last time is forgotten, so a worker's memory stays bounded."""
 
-    def __init__(self, function, most: int = 1 << 19):
+    def __init__(self, function, most: int = 1 << 18):
         super().__init__()
-        self.function, self.most = function, most
+        self.function, self.most, self.old = function, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.function(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.function(key)
+        self[key] = value
         return value
 
     def array(self, keys: list, dtype) -> np.ndarray:

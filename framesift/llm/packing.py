@@ -29,8 +29,10 @@ from framesift.llm.common import Cached, materialize
 
 #: The white space that the tokenizer's pattern knows.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A word with the space before it, or white space without the last of a run: the tokenizer never joins across these.
-CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Letters of the western alphabets, and what is certainly no letter: after the one and before the other a word ends.
+LETTERS, NO_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "\\x00-@\\[-`{-\x7f"
+#: A word with the space before it, any other run of characters, or white space without the last of a run: the tokenizer never joins across these.
+CHUNK = re.compile(f" ?[{LETTERS}]+(?=[{NO_LETTER}]|$)| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Fixed value: the byte-level tokenizer's pattern of words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -57,7 +59,7 @@ class Encoder:
             with open(ranks, "rb") as lines:
                 known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
             encode = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=known, special_tokens={}).encode_ordinary
-        self.chunks = Cached(lambda c: array("H", encode(c)).tobytes(), 1 << 19)
+        self.chunks = Cached(lambda c: array("H", encode(c)).tobytes())
 
     def __call__(self, text: str | None, end: int = 0) -> np.ndarray:
         if not text:
