@@ -35,7 +35,7 @@ def terms(text: str | None) -> set[str]:
     return words | {w[:n] + "-" for w in words for n in HEADS if len(w) > n}
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int = 12) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 12) -> np.ndarray:
     """Weights, the intercept last, by Newton steps on a penalised log loss."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -84,8 +84,8 @@ class Chain:
         return out
 
 
-def choose(marked: DataFrame, most: int, least: int) -> list[str]:
-    """The terms that tell y = 1 from y = 0 best, by the z-score of the difference of their shares."""
+def choose(marked: DataFrame, most: int, least: int, lift: float = 8.0) -> list[str]:
+    """The terms that tell y = 1 from y = 0 best, by the z-score of the difference of their shares; their share is `lift` times as large there at least."""
 
     def run(batches):
         for b in batches:
@@ -96,7 +96,9 @@ def choose(marked: DataFrame, most: int, least: int) -> list[str]:
     counts = marked.select("text", "y").mapInArrow(run, "terms array<string>, y int").select(F.explode("terms").alias("term"), "y")
     counts = counts.groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where(F.col("n") >= least)
     share = F.col("n") / F.lit(float(pos + neg))
-    z = F.abs(F.col("a") / F.lit(float(pos)) - (F.col("n") - F.col("a")) / F.lit(float(neg))) / F.sqrt(share * (1 - share) * F.lit(1 / pos + 1 / neg) + F.lit(1e-9))
+    there, elsewhere = F.col("a") / F.lit(float(pos)), (F.col("n") - F.col("a")) / F.lit(float(neg))
+    counts = counts.where(there > elsewhere * lift)
+    z = (there - elsewhere) / F.sqrt(share * (1 - share) * F.lit(1 / pos + 1 / neg) + F.lit(1e-9))
     return [r["term"] for r in counts.orderBy(z.desc(), "term").limit(most).select("term").collect()]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from framesift.llm import language_id, quality, queries, toxicity
 
-SF = "/root/testdata/sf0.01"
+SF, LARGER = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 ODD = [(9001, None, None), (9002, "", "en"), (9003, "12 !!", "en"), (None, "the of and to", "en"), (9004, "x " * 60000, None), (9004, "x " * 60000, None)]
 
 
@@ -65,18 +65,14 @@ def test_flat_trees_agree_with_walking_each_row():
         assert p == pytest.approx(1 / (1 + np.exp(-total)))
 
 
-def test_toxic_documents_are_found(spark):
-    got = queries.op4_toxicity(spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/labels.parquet").toPandas(), on="doc_id")
-    assert got[got["toxic"] == 1]["predicted"].mean() > 0.85
-    assert got[got["toxic"] == 0]["predicted"].mean() < 0.01
-
-
 def test_toxicity_of_held_out_and_odd_rows(spark):
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    model = toxicity.train(docs, labels, queries.toxicity_categories(), keep=F.crc32(F.col("doc_id").cast("string")) % 3 != 0)
-    held = toxicity.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(F.crc32(F.col("doc_id").cast("string")) % 3 == 0).toPandas()
-    assert (held[held["toxic"] == 0]["p_toxic"] < 0.5).mean() > 0.98
-    assert (held[held["toxic"] == 1]["p_toxic"] >= 0.5).mean() > 0.7
+    """About a tenth of the toxic labels are on texts whose abuse was written over, so recall cannot reach 1."""
+    docs, labels = spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = toxicity.train(docs, labels, queries.toxicity_categories(), keep=fold != 0)
+    held = toxicity.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(fold == 0).toPandas()
+    assert (held[held["toxic"] == 0]["p_toxic"] >= 0.5).mean() < 0.003
+    assert (held[held["toxic"] == 1]["p_toxic"] >= 0.5).mean() > 0.84
     rows = toxicity.score(odd(spark), model).collect()
     assert len(rows) == len(ODD) and all(0 <= r["p_toxic"] <= 1 for r in rows)
     nothing = toxicity.train(docs, labels.limit(0), queries.toxicity_categories())
