@@ -46,9 +46,9 @@ VIEWS = {
         select e.vec_id, b.kp, b.x0 + 3e2*{EI0} as x, b.y0 + 3e2*{EI1} as y, least(1e0, 35e-2 + 6*abs({EI2})) as conf from embeddings e cross join (values ('nose',0,900,150),('left_eye',1,910,135),('right_eye',2,890,135),('left_ear',3,925,145),('right_ear',4,875,145),('left_shoulder',5,980,260),('right_shoulder',6,820,260),('left_elbow',7,1010,380),('right_elbow',8,790,380),('left_wrist',9,1020,490),('right_wrist',10,780,490),('left_hip',11,950,520),('right_hip',12,850,520),('left_knee',13,950,720),('right_knee',14,850,720),('left_ankle',15,950,920),('right_ankle',16,850,920)) as b(kp,i,x0,y0)"""),
     "v_videos": ("customer", """
         select c_custkey as video_id, 10e0 + c_custkey % 120 as duration, case c_custkey % 3 when 0 then 24e0 when 1 then 25e0 else 30e0 end as fps,
-        cast(floor((10e0 + c_custkey % 120) * case c_custkey % 3 when 0 then 24e0 when 1 then 25e0 else 30e0 end) as int) as total_frames, 1920 as width, 1080 as height from customer where c_custkey < 100"""),
+        cast(floor((10e0 + c_custkey % 120) * case c_custkey % 3 when 0 then 24e0 when 1 then 25e0 else 30e0 end) as int) as total_frames, 1920 as width, 1080 as height from customer"""),
     "v_probe": ("orders", """
-        select o_custkey as video_id, (o_orderkey % 520)/4e0 as pts, case when o_orderkey % 4 = 0 then 'I' when o_orderkey % 4 = 1 then 'B' else 'P' end as pict_type from orders where o_custkey < 100"""),
+        select o_custkey as video_id, (o_orderkey % 520)/4e0 as pts, case when o_orderkey % 4 = 0 then 'I' when o_orderkey % 4 = 1 then 'B' else 'P' end as pict_type from orders"""),
 }
 
 
