@@ -28,7 +28,7 @@ add(
 )
 add("fingerprint_dedup", "documents", lambda d: sampling.first_per_fingerprint(d, "lang", "doc_id", F.md5("text")), "select lang, md5(text) as fingerprint, min(doc_id) as doc_id, count(*) as copies from documents group by all")
 add(
-    "fingerprint_dedup_raster", "v_raster", lambda r: sampling.first_per_fingerprint(r, "label", "vec_id", sampling.raster_fingerprint(F.transform(F.slice("px", 1, 4), lambda p: F.floor(p / 32)))),
+    "fingerprint_dedup_raster", "v_raster", lambda r: sampling.first_per_fingerprint(r, "label", "vec_id", sampling.raster_fingerprint(F.transform("px", lambda p: F.floor(p / 32)))),
     "select cast(label as bigint) as label, md5(array_to_string(list_transform(px[1:4], lambda p: cast(floor(p / 32) as bigint)), ',')) as fingerprint, min(vec_id) as vec_id, count(*) as copies from v_raster group by all",
 )
 add(
