@@ -7,13 +7,14 @@ The longest unused tail is the seed of a window. Its highest-weighted ids are th
 window by falling BM25 score, then in order. The last tail is cut where the window ends and what is left of it stays
 unused. What remains at the end of a partition is cut into sequences whose lengths are powers of two, which need no padding.
 
-Null texts count as empty and have the closing id alone. Repeated rows and null ids are packed like others. An empty
+Null texts count as empty and have the closing id alone. Very long texts, runs of one character included, are encoded whole. Repeated rows and null ids are packed like others. An empty
 table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from array import array
 from functools import lru_cache
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from framesift.llm.common import materialize
 
+#: White space of this length goes to `tokenizers`: the other library's pattern matcher runs out of stack on some longer ones.
+LONG_SPACE = re.compile(r"\s{50000}")
 #: Fixed value: the byte-level tokenizer's pattern of words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -35,7 +38,7 @@ class Encoder:
     """Ids of a text as 16-bit numbers, as the `tokenizers` file gives them.
 
     With `ranks`, the same vocabulary as byte-pair ranks, tiktoken encodes, which is several times as fast and gives the same
-    ids. Texts with a special token's string always go through `tokenizers`, which knows it.
+    ids. Texts with a special token's string or very long white space always go through `tokenizers`.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
@@ -56,7 +59,8 @@ class Encoder:
     def __call__(self, text: str | None, end: int = 0) -> np.ndarray:
         if not text:
             return np.array([end], "<u2")
-        ids = array("H", self.exact(text) if any(s in text for s in self.special) else self.encode(text))
+        plain = not any(s in text for s in self.special) and (len(text) < 50_000 or not LONG_SPACE.search(text))
+        ids = array("H", self.encode(text) if plain else self.exact(text))
         ids.append(end)
         return np.frombuffer(ids, "<u2")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +14,15 @@ from framesift.llm.simhash import near_duplicates
 from framesift.llm.substring_dedup import remove_repeats
 from framesift.llm.topk import top_k
 
-#: Where the vocabulary files are.
-TOKENIZERS = os.environ.get("FRAMESIFT_TOKENIZERS", "/opt/tokenizers")
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def vocabulary() -> tuple[str, str]:
+    """Files of the packing vocabulary, for `tokenizers` and as ranks, in FRAMESIFT_TOKENIZERS or where the public tokenizers are installed."""
+    folder, names = os.environ.get("FRAMESIFT_TOKENIZERS"), ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    return tuple(f"{folder}/{n}" if folder else public_tokenizers.path(n) for n in names)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,7 +56,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", window=1024)
+    return packing.pack(table(spark, sf_dir, "documents"), *vocabulary(), window=1024)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

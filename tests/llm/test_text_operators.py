@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from framesift.llm import decontaminate, packing, simhash
+from framesift.llm import decontaminate, packing, queries, simhash
 from framesift.llm.substring_dedup import remove_repeats
 
 DOC = "doc_id long, text string, n_removed string, fp string"
@@ -194,3 +194,14 @@ def test_neighbours_rank_by_bm25():
     assert shard.neighbours(0, 3, np.array([False, True, True, True])).tolist() == [3, 1]
 
 
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n \t" * 300_000 + "x", "x" + " " * 800_000 + "y", "a" * 1_000_000, "漢字" * 200_000], ids=["spaces", "mixed", "inside", "letters", "signs"])
+def test_very_long_runs_are_packed(spark, text):
+    from tokenizers import Tokenizer
+
+    want = np.array(Tokenizer.from_file(f"{TOKENIZERS}/byte_bpe_50k.json").encode(text, add_special_tokens=False).ids + [0], "<u4")
+    docs = spark.createDataFrame([(1, text), (2, "plain words")], "doc_id long, text string")
+    rows = [r for r in packing.pack(docs, *queries.vocabulary()).collect() if r["doc_id"] == 1]
+    assert sum(r["length"] for r in rows) == len(want) == rows[0]["doc_tokens"]
+    assert all(r["ids_crc32"] == zlib.crc32(want[r["start"] : r["start"] + r["length"]].tobytes()) for r in rows)
