@@ -1,6 +1,7 @@
 """Substring dedup: words covered by a window of `width` words that starts at two or more places are removed.
 
-Three passes over blocks of documents, which one shuffle lays out:
+Rows are dealt to blocks by a number of their own, which a written table holds, so that repeated rows are spread like others and
+blocks are as many as the texts' bytes and the rows ask for. Three passes over the blocks, which one shuffle lays out:
 
 1. Each block sketches its windows: for each row of a count-min sketch, the sorted cells it touches with their
    counts (1, or 2 for more). Cell ranges go to shards; a shard adds up what the blocks sent and answers, for
@@ -14,7 +15,8 @@ A block's windows are counted before they leave it, so a passage in a third of a
 entry a block. A block holds about `block_bytes` of text; only one document longer than that makes it larger.
 
 Null and empty texts have no words; texts of fewer than `width` words lose none. Repeated rows count as separate
-documents. Ids may be null or repeated. An empty table gives an empty result.
+documents. Ids may be null or repeated. A carried column called n_words, n_removed or kept_text is replaced; other names may clash
+with none. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from framesift.llm.common import input_bytes, mix64, rolling, word_hashes, words
+from framesift.llm.common import materialize, mix64, rolling, word_hashes, words
 
-#: Cells of one shard's range, as a power of two.
-SHARD_BITS = 22
+#: Cells of one shard's range, as a power of two: the least and the most, which one task holds as bytes.
+SHARD_BITS, MOST_BITS = 22, 26
 #: Odd multipliers of the two window hashes, and seeds of the two word mixes.
 BASES, SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0x243F6A8885A308D3, 0x13198A2E03707344)
 REPLY = "block long, kind int, shard long, bits binary"
@@ -86,10 +89,13 @@ class Windows:
         return removed, left
 
 
-def _counted(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct cells, whether each has two or more windows, and the place of each window's cell among them."""
-    found, place, n = np.unique(cells, return_inverse=True, return_counts=True)
-    return found, n > 1, place
+def _distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order, and whether each has two or more windows."""
+    cells = np.sort(cells)
+    first = np.ones(len(cells), bool)
+    first[1:] = cells[1:] != cells[:-1]
+    at = np.flatnonzero(first)
+    return cells[at], np.diff(at, append=len(cells)) > 1
 
 
 def _ranges(shards: np.ndarray):
@@ -118,18 +124,18 @@ def _answers(found: np.ndarray, shards: np.ndarray, replies: dict[int, bytes]) -
 class _Job:
     """What every pass has to know."""
 
-    def __init__(self, width: int, depth: int, n_cells: int, carry: list[str]):
-        self.width, self.depth, self.n_cells, self.carry = width, depth, n_cells, carry
-        self.per_row = -(-n_cells >> SHARD_BITS) + 1
+    def __init__(self, width: int, depth: int, n_cells: int, bits: int, columns: list[str]):
+        self.width, self.depth, self.n_cells, self.bits, self.columns = width, depth, n_cells, bits, columns
+        self.per_row = -(-n_cells >> bits) + 1
 
     def sketch(self, docs: pa.Table) -> pa.Table:
         """Messages of a block: (block, shard, blob), a shard for each range of each row's cells."""
         w = Windows(docs.column("text").to_pylist(), self.width, self.cache)
         out = []
         for row in range(self.depth):
-            found, twice, _ = _counted(w.cells(row, self.n_cells))
-            local = ((found & np.uint64((1 << SHARD_BITS) - 1)) << np.uint64(1) | twice.astype(np.uint64)).astype(np.uint32)
-            for shard, a, b in _ranges(found >> np.uint64(SHARD_BITS)):
+            found, twice = _distinct(w.cells(row, self.n_cells))
+            local = ((found & np.uint64((1 << self.bits) - 1)) << np.uint64(1) | twice.astype(np.uint64)).astype(np.uint32)
+            for shard, a, b in _ranges(found >> np.uint64(self.bits)):
                 out.append((row * self.per_row + shard, pack(local[a:b])))
         return _messages(docs, out)
 
@@ -143,15 +149,21 @@ class _Job:
         return {k: v for k, v in self.__dict__.items() if k != "_cache"}
 
     def estimated(self, w: Windows, replies: dict[int, bytes]) -> np.ndarray:
-        out = np.ones(len(w.at), bool)
+        """Windows whose cell holds two or more in every row."""
+        left = np.arange(len(w.at))
         for row in range(self.depth):
-            found, _, place = _counted(w.cells(row, self.n_cells))
-            out &= _answers(found, (found >> np.uint64(SHARD_BITS)) + np.uint64(row * self.per_row), replies)[place]
-        return out
+            cells = w.cells(row, self.n_cells)
+            found, _ = _distinct(cells)
+            full = found[_answers(found, (found >> np.uint64(self.bits)) + np.uint64(row * self.per_row), replies)]
+            if not len(full):
+                return left[:0]
+            mine = cells[left]
+            left = left[full[np.minimum(np.searchsorted(full, mine), len(full) - 1)] == mine]
+        return left
 
     def suspects(self, w: Windows, replies: dict[int, bytes]):
         """Windows estimated repeated, their distinct fingerprints in order, whether each is twice here, shard of each, and place of each window's."""
-        which = np.flatnonzero(self.estimated(w, replies))
+        which = self.estimated(w, replies)
         keys = np.empty(len(which), [("a", ">u8"), ("b", ">u4")])
         keys["a"], keys["b"] = w.h1[which], w.h2[which] >> np.uint64(32) & np.uint64(0xFFFFFFFE)
         raw = keys.view("S12")  # big-endian, so bytes sort as numbers; trailing zero bytes only pad
@@ -174,7 +186,7 @@ class _Job:
         repeated = np.zeros(len(w.at), bool)
         repeated[which] = _answers(found, shards, _bits(replies, 1))[place]
         removed, left = w.kept(repeated)
-        out = {c: docs.column(c) for c in self.carry}
+        out = {c: docs.column(c) for c in self.columns}
         out |= {"n_words": pa.array([len(x) for x in w.words], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(left, pa.binary()).cast(pa.string())}
         return pa.table(out)
 
@@ -184,13 +196,17 @@ def _reply(kind: int, table: pa.Table, masks: list[np.ndarray]) -> pa.Table:
     return pa.table({"block": table.column("block"), "kind": pa.array([kind] * n, pa.int32()), "shard": table.column("shard"), "bits": pa.array([np.packbits(m).tobytes() for m in masks], pa.binary())})
 
 
-def _merge_sketch(table: pa.Table) -> pa.Table:
-    sent = [unpack(x) for x in table.column("blob").to_pylist()]
-    cells = np.zeros(1 << SHARD_BITS, np.uint8)
-    for x in sent:
-        at = x >> np.uint32(1)
-        cells[at] = np.minimum(cells[at] + 1 + (x & np.uint32(1)).astype(np.uint8), 2)
-    return _reply(0, table, [cells[x >> np.uint32(1)] > 1 for x in sent])
+def _merge_sketch(bits: int):
+    def run(table: pa.Table) -> pa.Table:
+        blobs = table.column("blob").to_pylist()
+        cells = np.zeros(1 << bits, np.uint8)
+        for blob in blobs:
+            x = unpack(blob)
+            at = x >> np.uint32(1)
+            cells[at] = np.minimum(cells[at] + 1 + (x & np.uint32(1)).astype(np.uint8), 2)
+        return _reply(0, table, [cells[unpack(blob) >> np.uint32(1)] > 1 for blob in blobs])
+
+    return run
 
 
 def _merge_exact(table: pa.Table) -> pa.Table:
@@ -207,16 +223,19 @@ def _merge_exact(table: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, width: int = 35, depth: int = 2, cells_per_window: int = 4, block_bytes: int = 4 << 20, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns `carry` of every row of docs, and n_words, n_removed, kept_text (kept words joined by one space)."""
-    total = input_bytes(docs)
-    blocks = max(1, -(-total // block_bytes))
-    job = _Job(width, depth, max(1 << SHARD_BITS, cells_per_window * total // 6), list(carry))
-    columns = list(dict.fromkeys([*carry, "text"]))
-    laid = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), *columns)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    blocks = max(1, -(-(size["bytes"] + 64 * size["rows"]) // block_bytes))
+    bits = min(MOST_BITS, max(SHARD_BITS, SHARD_BITS + size["bytes"].bit_length() - 31))
+    carried = [c for c in carry if c not in ("text", "n_words", "n_removed", "kept_text")]
+    columns = (["kept"] if carried else []) + (["text"] if "text" in carry else [])
+    job = _Job(width, depth, max(1 << bits, cells_per_window * size["bytes"] // 6), bits, columns)
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block")
+    laid = materialize(docs.select(block, *([F.struct(*carried).alias("kept")] if carried else []), "text"), "substring-blocks", "zstd")
     message = "block long, shard long, blob binary"
     sent = laid.groupBy("block").applyInArrow(lambda t: job.sketch(t), message)
-    estimates = sent.groupBy("shard").applyInArrow(_merge_sketch, REPLY)
-    suspects = laid.groupBy("block").cogroup(estimates.groupBy("block")).applyInArrow(lambda left, right: job.fingerprints(left, right), message)
+    estimates = sent.groupBy("shard").applyInArrow(_merge_sketch(bits), REPLY)
+    suspects = laid.select("block", "text").groupBy("block").cogroup(estimates.groupBy("block")).applyInArrow(lambda left, right: job.fingerprints(left, right), message)
     exact = suspects.groupBy("shard").applyInArrow(_merge_exact, REPLY)
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", n_words long, n_removed long, kept_text string"
-    return laid.groupBy("block").cogroup(estimates.unionByName(exact).groupBy("block")).applyInArrow(lambda left, right: job.removal(left, right), schema)
+    schema = T.StructType([laid.schema[c] for c in columns]).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
+    out = laid.groupBy("block").cogroup(estimates.unionByName(exact).groupBy("block")).applyInArrow(lambda left, right: job.removal(left, right), schema)
+    return out.select(*[F.col("text") if c == "text" else F.col("kept")[c].alias(c) for c in carry if c == "text" or c in carried], "n_words", "n_removed", "kept_text")
