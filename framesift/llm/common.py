@@ -34,6 +34,16 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote and nothing refers to any more."""
+    for t in tables:
+        spark = t.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if shared_dir(spark).split(":", 1)[-1].lstrip("/") in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of bytes outside 0x20 and 0x09-0x0D; null has none."""
     return text.encode().split() if text else []
@@ -114,7 +124,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, name)
+        before, edges = edges, materialize(small, name)
+        discard(before)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
