@@ -122,3 +122,17 @@ def test_pipeline_keeps_clean_documents(spark):
             before = len(ids)
         else:
             assert set(r["doc_id"] for r in out.select("doc_id").distinct().collect()) == ids
+
+
+def test_topk_with_repeated_ids_as_by_sql(spark, tmp_path):
+    """Rows that share an id, alike or not, are candidates each; queries may share an id too."""
+    r = np.random.default_rng(8)
+    data = [(i % 150, [float(v) for v in row]) for i, row in enumerate(r.integers(-3, 4, size=(400, 5)) / 32)]
+    data += [(7, data[7][1])] * 30 + [(100, data[100][1])] * 2
+    spark.createDataFrame(data, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = rows(con.sql(queries.ORACLE_SQL["op7_topk"]).df())
+    for shard in (16, 8192):
+        got = topk.top_k(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), F.col("vec_id") % 100 == 0, shard=shard, block=3)
+        assert rows(got.toPandas()) == want
