@@ -1,16 +1,19 @@
 """WARC not-modified revisits: each takes its content from the latest earlier full response of the same canonical URL.
 
-An as-of join without a nested loop: time is cut into `buckets` equal spans. Inside (URL, span) a window finds the latest
-earlier response; what spans before hold is one row a (URL, span), carried forward by a second window over those
-rows only. A URL with a third of all captures is thus split into its spans.
+An as-of join without a nested loop, over ids and validators only. Captures become points, one a (URL, time), so that any number of captures at
+one time is one row. The points, in order of URL and time, are cut into spans of about `span_rows` points, so a URL with a
+third of all captures is many spans, however its times lie. In a (URL, span) a window finds the latest earlier response; what
+spans before hold is one row a (URL, span), carried forward by a second window over those rows only. Bodies are
+joined last, to the revisits that are resolved.
 
 A revisit fits the response it refers to if their entity tags agree (weakly compared), or, where one of them lacks a tag, their
 modification dates. Outcomes: `response` (a full one itself), `resolved`, `mismatch` (a validator differs),
 `unverified` (no validator in common), `orphan` (no earlier response, or a null or empty URL, time or id).
 A resolved revisit has the headers of the response, replaced by its own, except those that describe the body sent.
 
-Of responses at the same time the one with the largest record_id counts; earlier means strictly earlier. Repeated rows
-each get their row. Other kinds of records are left out. An empty table gives an empty result.
+Of responses at the same time the one with the largest record_id counts (of equal ids that with the largest validators, then payload); earlier
+means strictly earlier. Repeated rows each get their row. Null and empty payloads are payloads like any other. Other kinds of records and other columns are left out. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framesift.llm.common import materialize
+
+#: Most spans that the points are cut into.
+SPANS = 20_000
 #: Headers that a not-modified answer cannot change, as they describe the body that was sent.
 BODY_HEADERS = ("content-length", "content-encoding", "content-range", "transfer-encoding", "trailer", "connection", "keep-alive", "set-cookie")
 
@@ -46,47 +53,55 @@ def merged(base: Column, update: Column) -> Column:
     return F.map_concat(kept, allowed)
 
 
-def resolve(records: DataFrame, buckets: int = 1024) -> DataFrame:
+def _latest_before(points: DataFrame, span_rows: int) -> DataFrame:
+    """(url_key, ts, base) of the points at which a revisit asks: the latest response before, as (ts, record_id, etag, last_modified)."""
+    points = materialize(points, "revisit-points")
+    spans = max(1, min(SPANS, -(-points.count() // span_rows)))
+    placed = materialize(points.repartitionByRange(spans, "url_key", "ts").withColumn("span", F.spark_partition_id()), "revisit-spans")
+    inside = Window.partitionBy("url_key", "span").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    near = placed.withColumn("near", F.last("full", ignorenulls=True).over(inside)).where("asked")
+    last = placed.groupBy("url_key", "span").agg(F.max("full").alias("last"))  # the latest, as its time comes first
+    carried = last.withColumn("carry", F.last("last", ignorenulls=True).over(before)).select("url_key", "span", "carry")
+    return near.join(carried, ["url_key", "span"]).select("url_key", "ts", F.coalesce("near", "carry").alias("base"))
+
+
+def resolve(records: DataFrame, span_rows: int = 200_000) -> DataFrame:
     """Columns record_id, kind, url_key, outcome, refers_to, payload, headers of each response and revisit.
 
     records: record_id long, kind (response or revisit), url, ts long, etag, last_modified, headers map, payload.
     """
     rows = records.where(F.col("kind").isin("response", "revisit")).select("record_id", "kind", canonical(F.col("url")).alias("url_key"), "ts", "etag", "last_modified", "headers", "payload")
     sound = F.col("url_key").isNotNull() & (F.col("url_key") != "") & F.col("ts").isNotNull() & F.col("record_id").isNotNull()
-    span = records.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
-    low, width = span["a"] or 0, max(1, -(-((span["b"] or 0) - (span["a"] or 0) + 1) // buckets))
-    placed = rows.where(sound).withColumn("bucket", F.floor((F.col("ts") - low) / F.lit(width)).cast("int"))
-    full = F.when(F.col("kind") == "response", F.struct("record_id", "ts", "etag", "last_modified", "headers", "payload"))
-    newest = lambda col: F.max_by(col, F.when(col.isNotNull(), F.struct(col["ts"], col["record_id"])))
-    inside = Window.partitionBy("url_key", "bucket").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("url_key").orderBy("bucket").rangeBetween(Window.unboundedPreceding, -1)
-    near = placed.withColumn("full", full).withColumn("near", newest(F.col("full")).over(inside))
-    last = near.where(F.col("full").isNotNull()).groupBy("url_key", "bucket").agg(newest(F.col("full")).alias("last"))
-    stops = placed.select("url_key", "bucket").distinct().join(last, ["url_key", "bucket"], "left")
-    carried = stops.withColumn("carry", newest(F.col("last")).over(before)).select("url_key", "bucket", "carry")
-    found = near.join(carried, ["url_key", "bucket"]).withColumn("base", F.when(F.col("kind") == "revisit", F.coalesce("near", "carry")))
-    found = found.select(*rows.columns, "base")
-    lost = rows.where(~F.coalesce(sound, F.lit(False))).withColumn("base", F.lit(None).cast(found.schema["base"].dataType))
-    both = found.unionByName(lost)
+    is_full = F.col("kind") == "response"
+    full = F.when(is_full, F.struct("ts", "record_id", "etag", "last_modified"))
+    points = rows.where(sound).groupBy("url_key", "ts").agg(F.max(full).alias("full"), F.max(~is_full).alias("asked"))
     base = F.col("base")
+    revisits = rows.where(~is_full).drop("payload").join(_latest_before(points, span_rows), ["url_key", "ts"], "left").withColumn("base", F.when(sound, base))
     tags = base["etag"].isNotNull() & F.col("etag").isNotNull()
     dates = base["last_modified"].isNotNull() & F.col("last_modified").isNotNull()
     same = F.when(tags, _plain(base["etag"]) == _plain(F.col("etag"))).when(dates, base["last_modified"] == F.col("last_modified"))
-    outcome = F.when(F.col("kind") == "response", "response").when(base.isNull(), "orphan").when(same.isNull(), "unverified").when(same, "resolved").otherwise("mismatch")
-    done = both.withColumn("outcome", outcome)
-    is_resolved, is_full = F.col("outcome") == "resolved", F.col("kind") == "response"
-    return done.select(
-        "record_id", "kind", "url_key", "outcome",
-        F.when(is_resolved, base["record_id"]).alias("refers_to"),
-        F.when(is_full, F.col("payload")).when(is_resolved, base["payload"]).alias("payload"),
-        F.when(is_resolved, merged(base["headers"], F.col("headers"))).otherwise(F.col("headers")).alias("headers"),
+    outcome = F.when(base.isNull(), "orphan").when(same.isNull(), "unverified").when(same, "resolved").otherwise("mismatch")
+    judged = revisits.withColumn("outcome", outcome)
+    key = [F.col("url_key").alias("b_url"), F.col("ts").alias("b_ts"), F.col("record_id").alias("b_id"), F.coalesce("etag", F.lit("")).alias("b_etag"), F.coalesce("last_modified", F.lit("")).alias("b_date")]
+    text = F.to_json("headers")
+    bodies = rows.where(sound & is_full).groupBy(*key).agg(F.max_by(F.struct("payload", "headers"), F.struct("payload", text)).alias("body"))
+    wanted = [F.when(F.col("outcome") == "resolved", c) for c in (F.col("url_key"), base["ts"], base["record_id"], F.coalesce(base["etag"], F.lit("")), F.coalesce(base["last_modified"], F.lit("")))]
+    fits = [w == F.col(c) for w, c in zip(wanted, ("b_url", "b_ts", "b_id", "b_etag", "b_date"))]
+    done = judged.join(bodies, fits, "left")
+    is_resolved = F.col("outcome") == "resolved"
+    again = done.select(
+        "record_id", "kind", "url_key", "outcome", F.when(is_resolved, base["record_id"]).alias("refers_to"), F.col("body.payload").alias("payload"),
+        F.when(is_resolved, merged(F.col("body.headers"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"),
     )
+    first = rows.where(is_full).select("record_id", "kind", "url_key", F.lit("response").alias("outcome"), F.lit(None).cast("long").alias("refers_to"), "payload", "headers")
+    return first.unionByName(again)
 
 
 def captures(pages: DataFrame) -> DataFrame:
     """WARC-like records of a table of pages: a full response a page, and a revisit for every second one.
 
-    A page's response has time page_id, its digest as entity tag and payload, and a few headers. Pages with even
+    A page's response has time page_id, its digest as entity tag, its html as payload, and a few headers. Pages with even
     ids are visited again 1,000,000 later under a tracking link; every fifth of those names another tag, and those
     with an id divisible by 6 send a new expiry date.
     """
@@ -95,7 +110,7 @@ def captures(pages: DataFrame) -> DataFrame:
     common = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag, F.lit("Content-Length"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"), F.lit("Expires"), F.lit("0"))
     first = pages.select(
         (2 * F.col("page_id")).alias("record_id"), F.lit("response").alias("kind"), "url", F.col("page_id").alias("ts"), tag.alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"), common.alias("headers"), digest.alias("payload"),
+        F.lit(None).cast("string").alias("last_modified"), common.alias("headers"), F.coalesce("html", F.lit("")).alias("payload"),
     )
     again = pages.where(F.col("page_id") % 2 == 0)
     other = F.when(F.col("page_id") % 10 == 0, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), tag))
