@@ -136,3 +136,18 @@ def test_topk_with_repeated_ids_as_by_sql(spark, tmp_path):
     for shard in (16, 8192):
         got = topk.top_k(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), F.col("vec_id") % 100 == 0, shard=shard, block=3)
         assert rows(got.toPandas()) == want
+
+
+def test_revisits_of_a_url_in_many_spans(spark):
+    """A URL with most captures, an outlying time, repeated times: as with one span."""
+    data = [(i, "response" if i % 3 == 0 else "revisit", "a.com/hot" if i % 5 else f"a.com/{i % 7}", 10**12 if i == 299 else i // 2, f'"{i // 9}"', None, {"n": str(i)}, f"p{i}") for i in range(300)]
+    records = spark.createDataFrame(data, RECORDS.rsplit(",", 1)[0])
+    once, often = (sorted(map(str, warc.resolve(records, n).collect())) for n in (10**6, 7))
+    assert once == often and len(once) == 300
+    assert sum("resolved" in x for x in once) > 50
+
+
+def test_rows_that_repeat_a_response(spark):
+    data = [(1, "response", "a.com/x", 1, '"t"', None, {"h": "1"}, "body")] * 3 + [(2, "revisit", "a.com/x", 2, '"t"', None, None, None)] * 2
+    got = warc.resolve(spark.createDataFrame(data, RECORDS.rsplit(",", 1)[0])).collect()
+    assert len(got) == 5 and [r["payload"] for r in got] == ["body"] * 5
