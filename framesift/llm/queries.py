@@ -44,15 +44,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_categories() -> dict[str, object]:
-    """Labels of the chain: abuse with one of the listed words, abuse without any, and toxicity as labelled."""
-    listed = F.rlike(F.lower("text"), F.lit(r"\b(?:" + "|".join(toxicity.LISTED) + r")\b"))
-    return {"listed": (F.col("y") == 1) & listed, "unlisted": (F.col("y") == 1) & ~listed, "toxic": F.col("y") == 1}
+    """Categories of the chain, in order, from the label columns."""
+    toxic = F.col("toxic") == 1
+    return {"unfit": toxic | (F.col("quality") == 0), "toxic": toxic, "toxic_prose": toxic & (F.col("quality") == 1)}
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    found = toxicity.score(docs.select("doc_id", "text"), toxicity.train(docs, labels, toxicity_categories()))
-    return found.select("doc_id", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"), "p_listed", "p_unlisted")
+    model = toxicity.train(docs, labels, toxicity_categories(), keep=crc_fold("doc_id", 5) != 3)
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", quality.held_out(5, 3).alias("held_out"), F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"), "p_unfit", "p_toxic_prose")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,11 @@ probabilities of the categories before it. In learning, a later model sees out-o
 ones: those of models that were fitted without that row's fold. Models are fitted on a bounded sample: the
 `sample_rows` labelled ids with the smallest hash.
 
-Null texts count as empty; an empty text has the base rate's probability. Null labels are no labels. An id labelled twice counts once (the
-larger label). Repeated rows each get their row, null ids too. With nothing to learn from, probabilities are 0. An
+The query's categories come from both label columns of the table: `unfit` (toxic, or of low quality), `toxic`, and `toxic_prose` (toxic in
+an otherwise good text). A category whose label is null for a row counts as absent there.
+
+Null texts count as empty; an empty text has the base rate's probability. Rows whose labels are all null are no labels. An id labelled twice counts once (the
+larger of each category). Repeated rows each get their row, null ids too. With nothing to learn from, probabilities are 0. An
 empty table gives an empty result.
 """
 
@@ -21,13 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.common import materialize
-from framesift.llm.quality import labelled
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of words that count as features beside the words themselves.
 HEADS = (4, 5, 6)
-#: Words by which the query tells the first category from the second.
-LISTED = ("loser", "idiot", "pathetic", "scum", "worthless", "moron", "trash", "clown", "disgusting", "stupid")
 
 
 def terms(text: str | None) -> set[str]:
@@ -84,56 +84,70 @@ class Chain:
         return out
 
 
-def choose(marked: DataFrame, most: int, least: int, lift: float = 8.0) -> list[str]:
-    """The terms that tell y = 1 from y = 0 best, by the z-score of the difference of their shares; their share is `lift` times as large there at least."""
+def choose(marked: DataFrame, target: str, most: int, least: int) -> list[str]:
+    """The `most` terms that tell rows of the category from others best, by the z-score of the difference of their shares; at least 3."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(terms(t)) for t in b.column("text").to_pylist()], pa.list_(pa.string())), b.column("y")], ["terms", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(terms(t)) for t in b.column(0).to_pylist()], pa.list_(pa.string())), b.column(1)], ["terms", "y"])
 
-    n = marked.agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).first()
+    n = marked.agg(F.count_if(target).alias("pos"), F.count_if(~F.col(target)).alias("neg")).first()
     pos, neg = max(1, n["pos"]), max(1, n["neg"])
-    counts = marked.select("text", "y").mapInArrow(run, "terms array<string>, y int").select(F.explode("terms").alias("term"), "y")
+    counts = marked.select("text", F.col(target).cast("int").alias("y")).mapInArrow(run, "terms array<string>, y int").select(F.explode("terms").alias("term"), "y")
     counts = counts.groupBy("term").agg(F.sum("y").alias("a"), F.count("*").alias("n")).where(F.col("n") >= least)
     share = F.col("n") / F.lit(float(pos + neg))
     there, elsewhere = F.col("a") / F.lit(float(pos)), (F.col("n") - F.col("a")) / F.lit(float(neg))
-    counts = counts.where(there > elsewhere * lift)
-    z = (there - elsewhere) / F.sqrt(share * (1 - share) * F.lit(1 / pos + 1 / neg) + F.lit(1e-9))
-    return [r["term"] for r in counts.orderBy(z.desc(), "term").limit(most).select("term").collect()]
+    z = F.abs(there - elsewhere) / F.sqrt(share * (1 - share) * F.lit(1 / pos + 1 / neg) + F.lit(1e-9))
+    return [r["term"] for r in counts.where(z >= 3).orderBy(z.desc(), "term").limit(most).select("term").collect()]
+
+
+def fit_chain(x: np.ndarray, targets: np.ndarray, fold: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Weights of each category's model, and the out-of-fold probabilities (a column a category) that later models learned from."""
+    weights, earlier = [], np.zeros((len(x), 0))
+    for target in targets.T:
+        inputs = np.hstack([x, earlier])
+        weights.append(logistic(inputs, target))
+        outside = np.zeros(len(x))
+        for k in np.unique(fold):
+            here = fold == k
+            if not here.all():
+                outside[here] = apply(logistic(inputs[~here], target[~here]), inputs[here])
+        earlier = np.hstack([earlier, outside[:, None]])
+    return weights, earlier
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, object], column: str = "toxic", keep=None, sample_rows: int = 6000, folds: int = 4, features: int = 192, least: int = 5) -> Chain:
-    """categories: name -> condition on `text` and `y` (the label), in chain order. Fitted on at most `sample_rows` labelled documents; only their features come to the driver."""
-    wanted = F.broadcast(labelled(labels, column, keep, sample_rows))  # at most sample_rows short rows
+def labelled_rows(labels: DataFrame, categories: dict[str, object], keep, most: int) -> DataFrame:
+    """(doc_id, a boolean for each category) of at most `most` labelled ids that satisfy `keep`: those with the smallest hash."""
+    flags = [F.coalesce(F.max(c.cast("int")), F.lit(0)).cast("boolean").alias(n) for n, c in categories.items()]
+    any_label = F.coalesce(*[c.cast("int") for c in categories.values()]).isNotNull()
+    rows = labels.where(F.col("doc_id").isNotNull() & any_label).where(F.lit(True) if keep is None else keep)
+    return rows.groupBy("doc_id").agg(*flags).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, object], keep=None, sample_rows: int = 6000, folds: int = 4, features: int = 128, least: int = 5) -> Chain:
+    """categories: name -> condition on the columns of labels, in chain order. Fitted on at most `sample_rows` labelled documents; only their features come to the driver."""
     names = list(categories)
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
-    marked = materialize(rows.select("doc_id", "text", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in categories.items()], "y"), "toxicity-sample")
-    kinds = marked.agg(F.min("y"), F.max("y")).first()
-    if kinds[0] is None or kinds[0] == kinds[1]:
+    wanted = F.broadcast(labelled_rows(labels, categories, keep, sample_rows))  # at most sample_rows short rows
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *names)
+    marked = materialize(rows, "toxicity-sample")
+    kinds = marked.agg(*[F.count_if(n).alias(n) for n in names], F.count("*").alias("_rows")).first()
+    if not any(0 < kinds[n] < kinds["_rows"] for n in names):
         return Chain(names, [], [])
-    bare = Chain(names, choose(marked, features, least), [])
+    chosen = sorted({t for n in names for t in choose(marked, n, features, least)})  # some hundred terms
+    bare = Chain(names, chosen, [])
 
     def run(batches):
         for b in batches:
             x = bare.matrix(b.column("text").to_pylist()).astype(bool)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([np.packbits(r).tobytes() for r in x], pa.binary()), *b.columns[2:]], ["doc_id", "x", *b.schema.names[2:]])
 
-    schema = "doc_id " + rows.schema["doc_id"].dataType.simpleString() + ", x binary, " + ", ".join(f"`{n}` boolean" for n in names) + ", y int"
+    schema = "doc_id " + rows.schema["doc_id"].dataType.simpleString() + ", x binary, " + ", ".join(f"`{n}` boolean" for n in names)
     got = marked.mapInArrow(run, schema).limit(2 * sample_rows).toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("x", "ascending")])
-    x = np.array([np.unpackbits(np.frombuffer(r, np.uint8), count=len(bare.place)) for r in got.column("x").to_pylist()], float)
+    x = np.array([np.unpackbits(np.frombuffer(r, np.uint8), count=len(chosen)) for r in got.column("x").to_pylist()], float).reshape(got.num_rows, len(chosen))
     fold = np.array([zlib.crc32(f"fold {i}".encode()) % folds for i in got.column("doc_id").to_pylist()])
-    weights, earlier = [], np.zeros((len(x), 0))
-    for name in names:
-        target = got.column(name).to_numpy().astype(float)
-        inputs = np.hstack([x, earlier])
-        weights.append(logistic(inputs, target))
-        outside = np.zeros(len(x))
-        for k in range(folds):
-            if (fold == k).any() and (fold != k).any():
-                outside[fold == k] = apply(logistic(inputs[fold != k], target[fold != k]), inputs[fold == k])
-        earlier = np.hstack([earlier, outside[:, None]])
-    return Chain(names, list(bare.place), weights)
+    targets = np.stack([got.column(n).to_numpy().astype(float) for n in names], axis=1)
+    return Chain(names, chosen, fit_chain(x, targets, fold)[0])
 
 
 def score(docs: DataFrame, model: Chain) -> DataFrame:

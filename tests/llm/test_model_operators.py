@@ -77,3 +77,50 @@ def test_toxicity_of_held_out_and_odd_rows(spark):
     assert len(rows) == len(ODD) and all(0 <= r["p_toxic"] <= 1 for r in rows)
     nothing = toxicity.train(docs, labels.limit(0), queries.toxicity_categories())
     assert {r["p_toxic"] for r in toxicity.score(odd(spark), nothing).collect()} == {0.0}
+
+
+def test_later_models_learn_from_out_of_fold_probabilities():
+    """The chain against a plain reference: each row's earlier probability comes from models that never saw its fold."""
+    r = np.random.default_rng(2)
+    x = (r.random((300, 6)) < 0.4).astype(float)
+    first = (x[:, 0] + 0.3 * r.random(300) > 0.9).astype(float)
+    second = ((first > 0) & (x[:, 1] > 0)).astype(float)
+    fold = np.arange(300) % 4
+    weights, earlier = toxicity.fit_chain(x, np.stack([first, second], 1), fold)
+    for k in range(4):
+        here = fold == k
+        alone = toxicity.apply(toxicity.logistic(x[~here], first[~here]), x[here])
+        assert np.allclose(earlier[here, 0], alone)
+        with_first = np.hstack([x, earlier[:, :1]])
+        assert np.allclose(earlier[here, 1], toxicity.apply(toxicity.logistic(with_first[~here], second[~here]), with_first[here]))
+    assert np.allclose(weights[1], toxicity.logistic(np.hstack([x, earlier[:, :1]]), second))
+    inside = toxicity.apply(weights[0], x)
+    assert not np.allclose(inside, earlier[:, 0])  # not the probabilities of the model itself
+
+
+def test_toxicity_query_on_its_held_out_fold(spark):
+    got = queries.op4_toxicity(spark, LARGER).toPandas().merge(spark.read.parquet(f"{LARGER}/labels.parquet").toPandas(), on="doc_id")
+    assert (got["held_out"] == [zlib.crc32(str(d).encode()) % 5 == 3 for d in got["doc_id"]]).all()
+    held = got[got["held_out"]]
+    toxic, said = held["toxic"] == 1, held["predicted"] == 1
+    print("held out", len(held), "toxic", toxic.sum(), "recall", said[toxic].mean(), "precision", toxic[said].mean(), "false", said[~toxic].mean())
+    assert said[toxic].mean() > 0.85 and toxic[said].mean() > 0.9
+    assert ((got["score"] >= 0.5) == (got["predicted"] == 1)).all() and got[["score", "p_unfit", "p_toxic_prose"]].stack().between(0, 1).all()
+
+
+def test_languages_are_those_of_the_nearest_centroid(spark):
+    """The query's predictions against a plain search of all centroids, text by text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(docs, F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in queries.op2_language_id(spark, SF).collect():
+        counts = language_id.features(texts[r["doc_id"]])
+        if counts is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        v = [np.log1p(float(c)) * float(w) for c, w in zip(counts, model.idf)]
+        size = sum(c * c for c in v) ** 0.5
+        near = [sum(a * float(b) for a, b in zip(v, c) if a) / size if size else 0.0 for c in model.centroids[:: 1]]
+        best = max(near)
+        assert r["score"] == pytest.approx(max(0.0, best), abs=1e-4)
+        assert r["lang_pred"] in {model.languages[o] for o, s in zip(model.owner, near) if s > best - 1e-4}
