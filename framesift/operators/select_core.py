@@ -4,46 +4,54 @@ The choice depends on order, which no window frame expresses. Two exact forms gi
 
 * ``fold``: a group's rows in one sorted array, folded with the accepted times as state; at most k times are held.
 * ``rounds``: k passes, each of which picks every group's best remaining row by a partial aggregate and drops what is
-  too near. No group is ever gathered, so one group may hold any share of the rows.
+  too near. No group is ever gathered, so one group may hold any share of the rows. Each pass writes the picks so far, one
+  row a group, so a pass reads the rows once and a plan never grows with k.
 
-``diverse_topk`` takes the fold for groups of up to `fold_rows` rows and the rounds for larger ones.
+``diverse_topk`` takes the fold for groups of up to `fold_rows` rows and the rounds for larger ones; the result does not depend on it.
+
+A row with a null time is near to nothing and nothing is near to it. A null score ranks last, and so does a null k: none is selected.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
+
+from framesift.operators.store import discard, materialize
 
 OUTCOMES = ("selected", "rejected_insufficient_diversity", "not_top_ranked")
 
 
+def _order(score: str, seq: str) -> Column:
+    """Structs that sort by falling score, missing last, then by seq."""
+    return F.struct(F.isnull(score).alias("n"), (-F.col(score)).alias("s"), F.col(seq).alias("q"))
+
+
+def _near(t: Column, others: Column, gap: float) -> Column:
+    return F.coalesce(F.exists(others, lambda p: F.coalesce(F.abs(t - p) < gap, F.lit(False))), F.lit(False))
+
+
 def fold(rows: DataFrame, keys: list[str], score: str, ts: str, seq: str, k: Column, gap: float) -> DataFrame:
     """rows with `outcome` and `pick` (1..k, null if not selected). Order: score falling, then seq."""
     rest = [c for c in rows.columns if c not in keys]
-    packed = rows.select(*keys, F.struct((-F.col(score)).alias("_s"), F.col(seq).alias("_q"), F.col(ts).alias("_t"), F.struct(*rest).alias("_row"), k.cast("int").alias("_k")).alias("r"))
+    packed = rows.select(*keys, F.struct(_order(score, seq).alias("o"), F.col(ts).cast("double").alias("t"), F.coalesce(k.cast("int"), F.lit(0)).alias("k"), F.struct(*rest).alias("row")).alias("r"))
     state = F.struct(F.lit(0).alias("i"), F.array().cast("array<struct<at:int,t:double>>").alias("picks"))
+    times = lambda picks: F.transform(picks, lambda p: p["t"])
 
     def step(acc, r):
-        free = F.size(acc["picks"]) < r["_k"]
-        near = F.exists(acc["picks"], lambda p: F.abs(r["_t"] - p["t"]) < gap)
-        pick = F.struct(acc["i"].alias("at"), r["_t"].cast("double").alias("t"))
-        return F.struct((acc["i"] + 1).alias("i"), F.when(free & ~near, F.concat(acc["picks"], F.array(pick))).otherwise(acc["picks"]).alias("picks"))
+        free = F.size(acc["picks"]) < r["k"]
+        pick = F.struct(acc["i"].alias("at"), r["t"].alias("t"))
+        taken = F.when(free & ~_near(r["t"], times(acc["picks"]), gap), F.concat(acc["picks"], F.array(pick))).otherwise(acc["picks"])
+        return F.struct((acc["i"] + 1).alias("i"), taken.alias("picks"))
 
-    ordered = packed.groupBy(*keys).agg(F.array_sort(F.collect_list("r"), lambda a, b: _compare(a, b)).alias("rs"))
+    ordered = packed.groupBy(*keys).agg(F.collect_list("r").alias("rs"))
+    ordered = ordered.withColumn("rs", F.array_sort("rs"))  # the order comes first and is unique in a group
     marked = ordered.withColumn("picks", F.aggregate("rs", state, step)["picks"])
     out = marked.select(*keys, "picks", F.posexplode("rs").alias("at", "r"))
     place = F.array_position(F.transform("picks", lambda p: p["at"]), F.col("at")).cast("int")
     before = F.filter("picks", lambda p: p["at"] < F.col("at"))
-    near = F.exists(before, lambda p: F.abs(F.col("r._t") - p["t"]) < gap)
-    code = F.when(place > 0, place).when((F.size(before) < F.col("r._k")) & near, 0).otherwise(-1)
-    return _named(out.select(*keys, "r._row.*", code.alias("_p")))
-
-
-def _compare(a: Column, b: Column) -> Column:
-    less = (a["_s"] < b["_s"]) | (a["_s"] == b["_s"]) & (a["_q"] < b["_q"])
-    same = (a["_s"] == b["_s"]) & (a["_q"] == b["_q"])
-    return F.when(less, F.lit(-1)).when(same, F.lit(0)).otherwise(F.lit(1))
+    code = F.when(place > 0, place).when((F.size(before) < F.col("r.k")) & _near(F.col("r.t"), times(before), gap), 0).otherwise(-1)
+    return _named(out.select(*keys, "r.row.*", code.alias("_p")))
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -52,33 +60,48 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome).withColumn("pick", F.when(p > 0, p)).drop("_p")
 
 
-def rounds(rows: DataFrame, keys: list[str], score: str, ts: str, seq: str, k: Column, gap: float, most: int) -> DataFrame:
-    """The same rows as `fold`, for k of at most `most`. Only the picks of all rounds are kept between passes."""
-    slim = rows.select(*keys, F.struct((-F.col(score)).alias("s"), F.col(seq).alias("q")).alias("o"), F.col(ts).cast("double").alias("t"), k.cast("int").alias("k"))
-    picks = None
-    for i in range(1, most + 1):
-        left = slim.where(F.col("k") >= i)
-        if picks is not None:
-            near = picks.groupBy(*keys).agg(F.collect_list("t").alias("ts"))  # at most k times a group
-            left = left.join(near, keys).where(~F.exists("ts", lambda t: F.abs(F.col("t") - t) < gap) & ~F.array_contains(F.col("ts"), F.col("t"))) if gap > 0 else left.join(picks.select(*keys, "o"), [*keys, "o"], "left_anti")
-        best = left.groupBy(*keys).agg(F.min_by(F.struct("o", "t"), F.col("o")).alias("b")).select(*keys, "b.o", "b.t", F.lit(i).alias("n"))
-        best = best.persist(StorageLevel.DISK_ONLY)
-        picks = best if picks is None else picks.unionByName(best)
-    held = picks.groupBy(*keys).agg(F.collect_list(F.struct("n", "o", "t")).alias("ps"))
-    o = F.struct((-F.col(score)).alias("s"), F.col(seq).alias("q"))
-    joined = rows.withColumn("_k", k.cast("int")).join(held, keys, "left")
-    mine = F.filter("ps", lambda p: p["o"] == o)
-    before = F.filter("ps", lambda p: p["o"] < o)
-    near = F.exists(before, lambda p: F.abs(p["t"] - F.col(ts)) < gap)
-    code = F.when(F.size(mine) > 0, mine[0]["n"]).when((F.size(before) < F.col("_k")) & near, 0).otherwise(-1)
-    return _named(joined.withColumn("_p", F.when(F.col("ps").isNull(), F.lit(-1)).otherwise(code)).drop("_k", "ps"))
-
-
-def diverse_topk(rows: DataFrame, keys: list[str], score: str, ts: str, seq: str, k: Column | int, gap: float, most: int = 16, fold_rows: int = 100_000) -> DataFrame:
-    """rows with `outcome` and `pick`. seq breaks ties and is unique in a group; k may be a column of at most `most`."""
+def rounds(rows: DataFrame, keys: list[str], score: str, ts: str, seq: str, k: Column, gap: float, most: int | None = None) -> DataFrame:
+    """The same rows as `fold`. Passes end when no group has a row left, or after `most` of them (an upper bound of k, if one is known)."""
+    limit = F.coalesce(k.cast("int"), F.lit(0))
+    slim = materialize(rows.select(*keys, _order(score, seq).alias("o"), F.col(ts).cast("double").alias("t"), limit.alias("k")), "rounds-rows")
+    held, done = None, 0
+    while most is None or done < most:
+        if held is None:
+            left = slim.where("k > 0")
+        else:  # one row a group, with k picks at most
+            taken = F.transform("ps", lambda p: p["o"])
+            left = slim.join(held, keys).where((F.size("ps") == done) & (F.col("k") > done) & ~F.array_contains(taken, F.col("o")) & ~_near(F.col("t"), F.transform("ps", lambda p: p["t"]), gap))
+        best = left.groupBy(*keys).agg(F.min_by(F.struct("o", "t"), F.col("o")).alias("b"))
+        if held is None:
+            now = best.select(*keys, F.array("b").alias("ps"))
+        else:
+            now = held.join(best, keys, "left").select(*keys, F.when(F.col("b").isNotNull(), F.concat("ps", F.array("b"))).otherwise(F.col("ps")).alias("ps"))
+        now, before = materialize(now, "rounds-picks"), held
+        done += 1
+        grown = now.where(F.size("ps") == done).limit(1).count()
+        if before is not None:
+            discard(before)
+        held = now
+        if not grown:
+            break
+    o = _order(score, seq)
+    joined = rows.withColumn("_k", limit)
+    if held is None:
+        return _named(joined.withColumn("_p", F.lit(-1)).drop("_k"))
+    joined = joined.join(held, keys, "left")
+    ps = F.coalesce("ps", F.array().cast(held.schema["ps"].dataType))
+    place = F.array_position(F.transform(ps, lambda p: p["o"]), o).cast("int")
+    before = F.filter(ps, lambda p: p["o"] < o)
+    near = _near(F.col(ts).cast("double"), F.transform(before, lambda p: p["t"]), gap)
+    code = F.when(place > 0, place).when((F.size(before) < F.col("_k")) & near, 0).otherwise(-1)
+    return _named(joined.withColumn("_p", code).drop("_k", "ps"))
+
+
+def diverse_topk(rows: DataFrame, keys: list[str], score: str, ts: str, seq: str, k: Column | int, gap: float, fold_rows: int = 100_000) -> DataFrame:
+    """rows with `outcome` and `pick`. seq breaks ties and is unique in a group; k may be a column."""
     k = k if isinstance(k, Column) else F.lit(k)
     sizes = rows.groupBy(*keys).count().where(F.col("count") > fold_rows)
     if sizes.isEmpty():
         return fold(rows, keys, score, ts, seq, k, gap)
     large = sizes.select(*keys)
-    return fold(rows.join(large, keys, "left_anti"), keys, score, ts, seq, k, gap).unionByName(rounds(rows.join(large, keys, "left_semi"), keys, score, ts, seq, k, gap, most))
+    return fold(rows.join(large, keys, "left_anti"), keys, score, ts, seq, k, gap).unionByName(rounds(rows.join(large, keys, "left_semi"), keys, score, ts, seq, k, gap))

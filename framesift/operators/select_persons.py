@@ -57,7 +57,7 @@ def fill(rows: DataFrame, picked: DataFrame, least: int = 3, gap: float = 2.0) -
 
 def quality_priority(rows: DataFrame, least: int = 3, most: int = 10, gap: float = 2.0) -> DataFrame:
     """Without categories: by quality, apart in time, at most `most`; the first `least` are the minimum."""
-    found = diverse_topk(rows, PERSON, "quality", "t_sec", "frame_seq", most, gap, most=most).where("outcome = 'selected'")
+    found = diverse_topk(rows, PERSON, "quality", "t_sec", "frame_seq", most, gap).where("outcome = 'selected'")
     return found.select(*PERSON, "frame_id", F.when(F.col("pick") <= least, "minimum").otherwise("additional").alias("category"), F.col("quality").alias("score"), "frame_seq", "t_sec")
 
 

@@ -50,7 +50,7 @@ add("stream_ingest_detections", _ingest, "select event_id, user_id, event_type,
 
 def _dedup(spark, sf_dir):
     rows = events(spark, sf_dir).select(F.col("user_id").alias("video_id"), F.regexp_extract("props", "[0-9]+", 0).cast("long").alias("frame_id"), "ts")
-    return _written(spark, streams.dedup_frames(rows, delay="1000 days"), "dedup").select("video_id", "frame_id")
+    return _written(spark, streams.dedup_frames(rows, delay="1 hour"), "dedup").select("video_id", "frame_id")
 
 
 add("stream_dedup_frames", _dedup, "select distinct user_id as video_id, cast(regexp_extract(props, '[0-9]+', 0) as bigint) as frame_id from events")
@@ -87,7 +87,10 @@ def _diverse(spark, sf_dir):
     return _written(spark, streams.diverse_select(rows, 5, GAP, delay="1 hour"), "diverse")
 
 
-add("stream_diverse_select", _diverse)
+add(
+    "stream_diverse_select", _diverse,
+    f"with s as (select *, cast(0 as double) as score from v_candidates), {greedy_sql('s', 'video_id', 'score', seq='t_sec, frame_id')} select video_id, frame_id, round(t_sec, 6) as t_sec from g where outcome = 'selected'", "v_candidates",
+)
 
 
 def _reselect(spark, sf_dir):

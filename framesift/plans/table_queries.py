@@ -32,21 +32,34 @@ def lines(d):
     return value.select(F.when(F.col("frame_id") % 11 == 0, F.concat(F.lit("{"), F.col("value"))).otherwise(F.col("value")).alias("value"))
 
 
+def _boxes(frames):
+    of = lambda column, kind: tables.child(frames, column).select("video_id", F.col("frame_id").cast("long").alias("frame_id"), F.lit(kind).alias("kind"), "idx", "x1", "y2", F.col("confidence").alias("conf"))
+    return of("face_detections", "face").unionByName(of("pose_detections", "body"))
+
+
 def _read(d):
-    frames = tables.parse_frames(lines(d))
-    boxes = tables.child(frames, "faces").select("video_id", "frame_id", F.lit("face").alias("kind"), "idx", "x1", "y2", F.col("confidence").alias("conf"))
-    return boxes.unionByName(tables.child(frames, "poses").select("video_id", "frame_id", F.lit("body").alias("kind"), "idx", "x1", "y2", F.col("confidence").alias("conf")))
+    return _boxes(tables.parse_frames(lines(d)))
+
+
+def _written(d):
+    """What files of documents hold of the frames written to them."""
+    from framesift.operators.store import shared_dir
+
+    path = f"{shared_dir(d.sparkSession)}/frames-{uuid.uuid4().hex}"
+    tables.write_frames(nested(d).withColumn("selections", F.struct(F.lit(True).alias("final_output"))), path)
+    frames = tables.read_frames(d.sparkSession, path)
+    return frames.select("video_id", F.col("frame_id").cast("long").alias("frame_id"), F.size("face_detections").alias("faces"), F.size("pose_detections").alias("poses"))
 
 
 add("src_frame_json", DET, _read, "select video_id, frame_id, kind, cast(idx as bigint) as idx, cast(x1 as bigint) as x1, cast(y2 as bigint) as y2, round(conf, 6) as conf from v_detections where frame_id % 11 <> 0 and frame_id % 13 <> 0")
 add(
-    "snk_frame_json", DET, lambda d: tables.as_json(nested(d)).select("video_id", "frame_id", F.size(F.from_json("value", tables.FRAME_JSON)["faces"]).alias("faces"), F.size(F.from_json("value", tables.FRAME_JSON)["poses"]).alias("poses")),
+    "snk_frame_json", DET, _written,
     "select video_id, frame_id, count(*) filter (kind = 'face') as faces, count(*) filter (kind = 'body') as poses from v_detections group by all",
 )
 
 
 def _manifest(spark, sf_dir):
-    found = tables.file_manifest(spark, sf_dir, "[cen]*.parquet")
+    found = tables.file_manifest(spark, sf_dir, "*.parquet")
     return registry.tidy(found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "extension", "sha256"))
 
 

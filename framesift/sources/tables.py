@@ -2,16 +2,46 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: The keys of a frame document. A box is [x1, y1, x2, y2], a landmark [x, y], a keypoint [x, y, confidence], a classification [label, confidence].
 FRAME_JSON = """
-    video_id long, frame_id long, t_sec double, width int, height int,
-    faces array<struct<idx:int,x1:int,y1:int,x2:int,y2:int,confidence:double>>,
-    poses array<struct<idx:int,x1:int,y1:int,x2:int,y2:int,confidence:double>>,
-    head_poses array<struct<yaw:double,pitch:double,roll:double,confidence:double,direction:string>>,
-    quality struct<overall:double,issues:array<string>,usable:boolean,method:string>,
-    selections struct<final_output:boolean,primary_category:string>, _corrupt_record string"""
+    video_id long, frame_id string, file_path string,
+    source_info struct<video_timestamp:double,extraction_method:string,original_frame_number:long,video_fps:double>,
+    image_properties struct<width:int,height:int,channels:int,file_size_bytes:long,format:string,color_space:string>,
+    face_detections array<struct<bbox:array<int>,confidence:double,landmarks:array<array<double>>,area:long>>,
+    pose_detections array<struct<bbox:array<int>,confidence:double,keypoints:map<string,array<double>>,pose_classifications:array<array<string>>>>,
+    head_poses array<struct<yaw:double,pitch:double,roll:double,confidence:double,direction:string,face_id:int>>,
+    quality_metrics struct<laplacian_variance:double,sobel_variance:double,brightness_score:double,contrast_score:double,overall_quality:double,quality_issues:array<string>,usable:boolean>,
+    closeup_detections array<struct<is_closeup:boolean,shot_type:string,confidence:double,face_area_ratio:double,inter_ocular_distance:double,estimated_distance:string,shoulder_width_ratio:double>>,
+    persons array<struct<person_id:int,
+        face:struct<type:string,bbox:array<int>,confidence:double,landmarks:array<array<double>>>,
+        body:struct<type:string,bbox:array<int>,confidence:double,keypoints:map<string,array<double>>,pose_classifications:array<array<string>>>,
+        head_pose:struct<yaw:double,pitch:double,roll:double,confidence:double,face_id:int,direction:string,direction_confidence:double>,
+        quality:struct<face_quality:double,body_quality:double,overall_quality:double>>>,
+    selections struct<selected_for_poses:array<string>,selected_for_head_angles:array<string>,final_output:boolean,output_files:array<string>,crop_regions:map<string,array<int>>,selection_rank:int,quality_rank:int,
+        category_scores:map<string,double>,category_score_breakdowns:map<string,map<string,double>>,category_ranks:map<string,int>,primary_selection_category:string,selection_competition:map<string,string>,
+        final_selection_score:double,rejection_reason:string>,
+    processing_timings struct<face_detection_ms:double,pose_estimation_ms:double,head_pose_estimation_ms:double,quality_assessment_ms:double,closeup_detection_ms:double,total_processing_ms:double>,
+    debug_info map<string,string>, _corrupt_record string"""
+
+#: What a missing field of a document stands for; fields that are not named are null, arrays and maps empty.
+DEFAULTS = {
+    "source_info": {"video_timestamp": 0.0, "extraction_method": "unknown", "original_frame_number": 0, "video_fps": 30.0},
+    "image_properties": {"width": 0, "height": 0, "channels": 3, "file_size_bytes": 0, "format": "JPG", "color_space": "RGB"},
+    "face_detections": {"bbox": [0, 0, 0, 0], "confidence": 0.0},
+    "pose_detections": {"bbox": [0, 0, 0, 0], "confidence": 0.0},
+    "head_poses": {"yaw": 0.0, "pitch": 0.0, "roll": 0.0, "confidence": 0.0, "direction": "unknown", "face_id": 0},
+    "quality_metrics": {"laplacian_variance": 0.0, "sobel_variance": 0.0, "brightness_score": 0.0, "contrast_score": 0.0, "overall_quality": 0.0, "usable": True},
+    "closeup_detections": {"is_closeup": False, "shot_type": "unknown", "confidence": 0.0, "face_area_ratio": 0.0},
+    "selections": {"final_output": False},
+}
 
 PROBE_JSON = """
     streams array<struct<codec_type:string,codec_name:string,width:int,height:int,duration:string,r_frame_rate:string,avg_frame_rate:string>>,
@@ -25,39 +55,118 @@ def parse_frames(lines: DataFrame, column: str = "value") -> DataFrame:
     return _with_defaults(rows)
 
 
-def read_frames(spark: SparkSession, path: str) -> DataFrame:
-    """Frames from files of JSON documents, as parse_frames."""
-    rows = spark.read.schema(FRAME_JSON).option("mode", "PERMISSIVE").json(path)
-    rows = rows.where(F.col("selections").isNotNull() & F.col("_corrupt_record").isNull()) if "_corrupt_record" in rows.columns else rows.where("selections is not null")
-    return _with_defaults(rows.drop("_corrupt_record"))
+def read_frames(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Frames from files of JSON documents, one a line (or one a file, or an array of them, if `whole`), as parse_frames."""
+    rows = spark.read.schema(FRAME_JSON).option("mode", "PERMISSIVE").option("multiLine", whole).json(path)
+    return _with_defaults(rows.where("_corrupt_record is null and selections is not null").drop("_corrupt_record"))
 
 
-def _with_defaults(rows: DataFrame) -> DataFrame:
-    empty = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))
-    quality = F.when(F.col("quality").isNotNull(), F.struct(F.col("quality.overall").alias("overall"), F.coalesce("quality.issues", F.array().cast("array<string>")).alias("issues"), F.coalesce("quality.usable", F.lit(True)).alias("usable"), F.coalesce("quality.method", F.lit("direct")).alias("method")))
-    return rows.withColumns({c: empty(c) for c in ("faces", "poses", "head_poses")} | {"quality": quality, "t_sec": F.coalesce("t_sec", F.lit(0.0))})
+def _filled(value: Column, kind: T.StructType, defaults: dict) -> Column:
+    """A struct with defaults for its missing fields; arrays and maps are empty by default."""
+    out = []
+    for f in kind.fields:
+        x = value[f.name]
+        if f.name in defaults:
+            d = defaults[f.name]
+            x = F.coalesce(x, (F.array(*map(F.lit, d)) if isinstance(d, list) else F.lit(d)).cast(f.dataType))
+        elif isinstance(f.dataType, T.MapType):
+            x = F.coalesce(x, F.create_map().cast(f.dataType))
+        elif isinstance(f.dataType, T.ArrayType) and f.name != "landmarks":
+            x = F.coalesce(x, F.array().cast(f.dataType))
+        out.append(x.alias(f.name))
+    return F.struct(*out)
 
 
-def child(frames: DataFrame, column: str) -> DataFrame:
-    """One row an element: video_id, frame_id and its fields, with its place if it has none."""
-    out = frames.select("video_id", "frame_id", F.posexplode(column).alias("pos", "e")).select("video_id", "frame_id", "pos", "e.*")
-    return out.drop("pos") if "idx" in out.columns else out.withColumnRenamed("pos", "idx")
+def _element(kind: T.StructType, defaults: dict):
+    return lambda e: _filled(e, kind, defaults)
 
 
-def nest(frames: DataFrame, detections: DataFrame) -> DataFrame:
-    """Frames with their detections as arrays in list order. detections: video_id, frame_id, kind, idx, box, conf."""
-    one = F.struct(F.col("idx").cast("int").alias("idx"), "x1", "y1", "x2", "y2", F.col("conf").alias("confidence"))
-    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, one)))
-    return frames.join(detections.groupBy("video_id", "frame_id").agg(of("face").alias("faces"), of("body").alias("poses")), ["video_id", "frame_id"], "left")
+def _with_defaults(rows: DataFrame) -> DataFrame:
+    new = {}
+    for name, defaults in DEFAULTS.items():
+        kind = rows.schema[name].dataType
+        if isinstance(kind, T.ArrayType):
+            new[name] = F.coalesce(F.transform(name, _element(kind.elementType, defaults)), F.array().cast(kind))
+        elif name == "quality_metrics":
+            new[name] = F.when(F.col(name).isNotNull(), _filled(F.col(name), kind, defaults))
+        else:
+            new[name] = _filled(F.col(name), kind, defaults)
+    new["persons"] = F.coalesce("persons", F.array().cast(rows.schema["persons"].dataType))
+    return rows.withColumns(new)
+
+
+def child(frames: DataFrame, column: str) -> DataFrame:
+    """One row an element: video_id, frame_id, its place `idx`, its fields; a box becomes x1, y1, x2, y2."""
+    out = frames.select("video_id", "frame_id", F.posexplode(column).alias("idx", "e")).select("video_id", "frame_id", "idx", "e.*")
+    return out.select("*", *[F.col("bbox")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]).drop("bbox") if "bbox" in out.columns else out
+
+
+def persons(frames: DataFrame) -> DataFrame:
+    """One row a person of a frame: video_id, frame_id, person_id, its face, body, head pose and quality. An unknown face or body is null."""
+    out = frames.select("video_id", "frame_id", F.explode("persons").alias("p")).select("video_id", "frame_id", "p.*")
+    known = lambda c, unknown: F.when(F.coalesce(F.col(c)["type"], F.lit("")) != unknown, F.col(c))
+    return out.withColumns({"face": known("face", "FaceUnknown"), "body": known("body", "BodyUnknown")})
+
+
+def _fields(name: str) -> list[T.StructField]:
+    """Fields of an element of the array `name` of a document."""
+    return T.StructType.fromDDL(FRAME_JSON)[name].dataType.elementType.fields
+
+
+def _listed(df: DataFrame, name: str, order: Column, known: dict[str, Column]) -> Column:
+    """The rows of df with an `order`, in it, as the array `name` of a document. Fields come from `known`, from columns of their name, or are null."""
+    one = F.struct(*[known.get(f.name, F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in _fields(name)])
+    rows = F.collect_list(F.when(order.isNotNull(), F.struct(order.alias("o"), one.alias("e"))))
+    placed = F.array_sort(rows, lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
+    return F.transform(placed, lambda x: x["e"]).alias(name)
+
+
+def nest(frames: DataFrame, detections: DataFrame, head_poses: DataFrame | None = None, closeups: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
+    """Frames with the rows of their child tables as arrays in list order, in the document's form.
+
+    All have video_id and frame_id. detections: kind, idx, x1, y1, x2, y2, conf, and landmarks, keypoints, pose_classifications where
+    known. head_poses and closeups: idx, and fields of theirs. people: person_id, face_idx, body_idx (places among the
+    frame's detections, null if unknown), face_quality, body_quality, overall.
+    """
+    key = ["video_id", "frame_id"]
+    box = {"bbox": F.array("x1", "y1", "x2", "y2"), "confidence": F.col("conf"), "area": (F.col("x2") - F.col("x1")).cast("long") * (F.col("y2") - F.col("y1"))}
+    side = lambda name, kind: _listed(detections, name, F.when(F.col("kind") == kind, F.col("idx")), box)
+    out = frames.join(detections.groupBy(*key).agg(side("face_detections", "face"), side("pose_detections", "body")), key, "left")
+    for name, rows in (("head_poses", head_poses), ("closeup_detections", closeups)):
+        if rows is not None:
+            out = out.join(rows.groupBy(*key).agg(_listed(rows, name, F.col("idx"), {})), key, "left")
+    if people is None:
+        return out
+    cols = [F.struct("person_id", "face_idx", "body_idx", "face_quality", "body_quality", "overall").alias("p")]
+    found = out.join(people.select(*key, *cols).groupBy(*key).agg(F.array_sort(F.collect_list("p")).alias("_people")), key, "left")
+    kind = {f.name: f.dataType for f in _fields("persons")}
+
+    def part(name, column, of, index, unknown):
+        of_side = F.get(of, index)
+        fields = [F.lit(name).alias("type"), *[of_side[f.name].cast(f.dataType).alias(f.name) for f in kind[column].fields if f.name != "type"]]
+        return F.when(index.isNotNull() & of_side.isNotNull(), F.struct(*fields)).otherwise(F.struct(F.lit(unknown).alias("type"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kind[column].fields if f.name != "type"])).alias(column)
+
+    def person(p):
+        pose = F.get(F.filter("head_poses", lambda h: h["face_id"] == p["face_idx"]), F.lit(0)) if head_poses is not None else F.lit(None)
+        head = F.struct(*[(pose[f.name] if head_poses is not None and f.name != "direction_confidence" else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind["head_pose"].fields])
+        quality = F.struct(p["face_quality"].alias("face_quality"), p["body_quality"].alias("body_quality"), p["overall"].alias("overall_quality"))
+        return F.struct(
+            p["person_id"].cast("int").alias("person_id"), part("FaceDetection", "face", F.col("face_detections"), p["face_idx"].cast("int"), "FaceUnknown"), part("PoseDetection", "body", F.col("pose_detections"), p["body_idx"].cast("int"), "BodyUnknown"),
+            (F.when(pose.isNotNull(), head) if head_poses is not None else F.lit(None).cast(kind["head_pose"])).alias("head_pose"), quality.alias("quality"),
+        )
+
+    return found.withColumn("persons", F.transform("_people", person)).drop("_people")
 
 
 def as_json(frames: DataFrame) -> DataFrame:
-    """A line of JSON a frame."""
-    return frames.select("video_id", "frame_id", F.to_json(F.struct(*frames.columns)).alias("value"))
+    """A line of JSON a frame, with nulls. Confidences of classifications are numbers, as the documents have them."""
+    text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) if c == "frame_id" else c for c in frames.columns]), {"ignoreNullFields": "false"})
+    return frames.select("video_id", "frame_id", F.regexp_replace(text, r'\["([A-Za-z_]+)","([-+0-9.eE]+)"\]', r'["$1",$2]').alias("value"))
 
 
 def write_frames(frames: DataFrame, path: str) -> None:
-    frames.write.mode("overwrite").json(path)
+    """Files of JSON documents, one a line."""
+    as_json(frames).select("value").write.mode("overwrite").text(path)
 
 
 def _rate(text: Column) -> Column:
@@ -80,10 +189,26 @@ def parse_probe(rows: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, size, extension and SHA-256 of files that fit into a row; hash larger ones where they are made."""
+def file_manifest(spark: SparkSession, path: str, glob: str = "*", in_row: int = 1 << 28) -> DataFrame:
+    """path, size, extension and SHA-256 of files. Files of up to `in_row` bytes are hashed as a row, larger ones are read in pieces by a task each."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("length").alias("size"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("extension"), F.sha2("content", 256).alias("sha256"))
+    named = [F.col("path"), F.col("length").alias("size"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("extension")]
+
+    def hashed(batches):
+        for b in batches:
+            out = []
+            for uri in b.column("path").to_pylist():
+                system, place = FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with system.open_input_stream(place) as data:
+                    while piece := data.read(1 << 22):
+                        digest.update(piece)
+                out.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "sha256"])
+
+    small = files.where(F.col("length") <= in_row).select(*named, F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > in_row).select(*named).mapInArrow(hashed, "path string, size long, extension string, sha256 string")
+    return small.unionByName(large)
 
 
 def write_selection(rows: DataFrame, path: str) -> None:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from framesift.operators.store import discard, materialize
+
 
 def ingest(spark: SparkSession, source: str, schema, target: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
     """Append what is new under `source` to `target`, exactly once, and stop. Run again, it takes only newer files."""
@@ -30,7 +32,7 @@ def windowed_counts(rows: DataFrame, label: str, size: str = "1 hour", slide: st
 def diverse_select(rows: DataFrame, k: int, gap: float, time: str = "ts", delay: str = "1 hour", expire_ms: int = 7_200_000) -> DataFrame:
     """In order of arrival: a row is taken if it is at least `gap` seconds from all taken of its video, at most k of them.
 
-    Not the batch selection, as later scores are unknown. State is at most k times a video, and goes `expire_ms` of event time after the video's last rows.
+    Rows of one micro-batch arrive in order of (t_sec, frame_id), whatever order a shuffle gives them. Not the batch selection, as later scores are unknown. State is at most k times a video, and goes `expire_ms` of event time after the video's last rows.
     """
     schema = "video_id long, frame_id long, t_sec double"
 
@@ -39,14 +41,15 @@ def diverse_select(rows: DataFrame, k: int, gap: float, time: str = "ts", delay:
             state.remove()
             return
         taken = list(state.get[0]) if state.exists else []
-        for part in batches:
-            out = []
-            for frame, t in zip(part["frame_id"], part["t_sec"]):
+        out = []
+        if len(taken) < k:  # two numbers a row of one micro-batch
+            arrived = pd.concat([part[["t_sec", "frame_id"]] for part in batches]).sort_values(["t_sec", "frame_id"])
+            for t, frame in zip(arrived["t_sec"], arrived["frame_id"]):
                 if len(taken) < k and all(abs(t - x) >= gap for x in taken):
                     taken.append(float(t))
                     out.append((key[0], frame, t))
-            if out:
-                yield pd.DataFrame(out, columns=["video_id", "frame_id", "t_sec"])
+        if out:
+            yield pd.DataFrame(out, columns=["video_id", "frame_id", "t_sec"])
         state.update((taken,))
         state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), 0) + expire_ms)
 
@@ -57,12 +60,19 @@ def diverse_select(rows: DataFrame, k: int, gap: float, time: str = "ts", delay:
 def reselect(spark: SparkSession, updates: DataFrame, everything, select, target: str, checkpoint: str) -> StreamingQuery:
     """For each micro-batch select again for the videos that it touches, and overwrite only their partitions of `target`.
 
-    everything() gives all rows seen so far, select(rows) the chosen ones with a column video_id.
+    everything() gives all rows seen so far, select(rows) the chosen ones with a column video_id. If the rows are partitioned by video, only
+    the touched partitions are read. A touched video of which nothing is chosen any more loses its partition.
     """
 
     def each(batch: DataFrame, _):
-        touched = batch.select("video_id").distinct()
-        chosen = select(everything().join(touched, "video_id", "left_semi"))
+        touched = materialize(batch.select("video_id").where("video_id is not null").distinct(), "touched")
+        chosen = materialize(select(everything().join(touched, "video_id", "left_semi")), "chosen")
         chosen.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(target)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for r in touched.join(chosen.select("video_id").distinct(), "video_id", "left_anti").toLocalIterator():
+            emptied = jvm.org.apache.hadoop.fs.Path(f"{target}/video_id={r['video_id']}")
+            emptied.getFileSystem(conf).delete(emptied, True)
+        discard(touched)
+        discard(chosen)
 
     return updates.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -123,3 +123,43 @@ def test_streamed_selection_keeps_the_gap(spark):
     for _, part in got.groupby("video_id"):
         t = sorted(part["t_sec"])
         assert len(t) <= 5 and all(b - a >= 21600 for a, b in zip(t, t[1:]))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 9)), st.one_of(st.none(), st.integers(0, 400))), min_size=1, max_size=60))
+def test_fold_and_rounds_agree_with_nulls_and_many_picks(spark, items):
+    rows = spark.createDataFrame([(1, i, None if q is None else float(q), None if t is None else float(t)) for i, (q, t) in enumerate(items)], "g long, i long, q double, t double")
+    args = (rows, ["g"], "q", "t", "i", F.lit(20), 6.0)
+    folded, passed = ({r["i"]: (r["outcome"], r["pick"]) for r in how(*args).collect()} for how in (select_core.fold, select_core.rounds))
+    assert folded == passed
+    taken = []
+    for i in sorted(range(len(items)), key=lambda i: (items[i][0] is None, -(items[i][0] or 0), i)):
+        t = items[i][1]
+        if len(taken) < 20 and all(t is None or x is None or abs(t - x) >= 6 for x in taken):
+            taken.append(t)
+            assert folded[i] == ("selected", len(taken))
+        else:
+            assert folded[i][0] != "selected"
+
+
+def test_large_groups_of_many_picks(spark):
+    rows = spark.range(1000).select(F.lit(1).alias("g"), F.col("id").alias("i"), F.rand(1).alias("q"), (F.col("id") * 3.0).alias("t"))
+    got = select_core.diverse_topk(rows, ["g"], "q", "t", "i", 20, 10.0, fold_rows=10)
+    want = select_core.diverse_topk(rows, ["g"], "q", "t", "i", 20, 10.0)
+    cols = ("i", "outcome", "pick")
+    assert {tuple(r) for r in got.select(*cols).collect()} == {tuple(r) for r in want.select(*cols).collect()}
+
+
+def test_reselection_drops_what_is_empty_now(spark, tmp_path):
+    from framesift.streaming import streams
+
+    schema = "video_id long, frame_id long"
+    state = {"rows": [(1, 1), (2, 1)]}
+    everything = lambda: spark.createDataFrame(state["rows"], schema)
+    for n, rows in enumerate(([(1, 1), (2, 1)], [(2, 3)])):
+        state["rows"] = [(1, 1), (2, 1)] if n == 0 else [(1, 1), (2, 3)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        updates = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        streams.reselect(spark, updates, everything, lambda r: r.where("frame_id < 3"), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+        got = {tuple(r) for r in spark.read.schema("frame_id long, video_id long").parquet(f"{tmp_path}/out").select("video_id", "frame_id").collect()}
+        assert got == ({(1, 1), (2, 1)} if n == 0 else {(1, 1)})
