@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.functions import quality as q
+from framesift.operators.store import materialize
 
 LAPLACIAN = [[0, 1, 0], [1, -4, 1], [0, 1, 0]]
 SOBEL_X = [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]
@@ -114,9 +115,9 @@ def ranked(frames: DataFrame) -> DataFrame:
 
 
 def corpus_ranked(frames: DataFrame, score: str, tie: str) -> DataFrame:
-    """corpus_rank over all rows without a one-partition window: a sort, then each partition's offset by a prefix sum of counts."""
+    """corpus_rank over all rows: a sort, which is written, then each partition's offset by a prefix sum of counts. Only that sum, of a row a partition, is a window without a key."""
     cols = frames.columns
-    sorted_rows = frames.orderBy(F.desc(score), tie).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).persist()
+    sorted_rows = materialize(frames.orderBy(F.desc(score), tie).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "corpus-rank")
     counts = sorted_rows.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
     offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
     return sorted_rows.join(F.broadcast(offsets), "_part").select(*cols, (F.col("_at") - F.col("first") + F.col("before") + 1).alias("corpus_rank"))

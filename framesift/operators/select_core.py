@@ -97,6 +97,11 @@ def rounds(rows: DataFrame, keys: list[str], score: str, ts: str, seq: str, k: C
     return _named(joined.withColumn("_p", code).drop("_k", "ps"))
 
 
+def pick_for(rows: DataFrame, keys: list[str], fold_rows: int = 100_000):
+    """What selects from parts of these rows: the fold, if no group is too large for it, so that sizes are counted once."""
+    return fold if rows.groupBy(*keys).count().where(F.col("count") > fold_rows).isEmpty() else diverse_topk
+
+
 def diverse_topk(rows: DataFrame, keys: list[str], score: str, ts: str, seq: str, k: Column | int, gap: float, fold_rows: int = 100_000) -> DataFrame:
     """rows with `outcome` and `pick`. seq breaks ties and is unique in a group; k may be a column."""
     k = k if isinstance(k, Column) else F.lit(k)

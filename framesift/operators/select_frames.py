@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.functions.angles import DIRECTIONS, clamp
-from framesift.operators.select_core import diverse_topk
+from framesift.operators.select_core import diverse_topk, pick_for
 from framesift.operators.store import materialize
 
 #: The pose categories of frame selection.
@@ -69,12 +69,14 @@ def claim(rows: DataFrame, k: Column | int, gap: float, order: DataFrame | None
 
     At most as many passes as there are pose categories. Adds place, outcome, pick.
     """
+    rows = materialize(rows, "claim-rows") if order is None else rows
     placed = materialize(rows.join(order if order is not None else category_order(rows), KEYS), "claim")
+    select = pick_for(placed, KEYS)
     done, taken = None, None
     for place in range(1, len(POSES) + 1):
         mine = placed.where(F.col("place") == place)
         free = mine if taken is None else mine.join(taken, FRAME, "left_anti")
-        picked = diverse_topk(free, KEYS, "score", "t_sec", "frame_seq", k, gap)
+        picked = select(free, KEYS, "score", "t_sec", "frame_seq", k if isinstance(k, Column) else F.lit(k), gap)
         if taken is not None:
             lost = mine.join(taken, FRAME, "left_semi").withColumn("outcome", F.lit("lost_to_higher_priority")).withColumn("pick", F.lit(None).cast("int"))
             picked = picked.unionByName(lost)
