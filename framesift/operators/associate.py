@@ -25,17 +25,21 @@ def faces_in_bodies(detections: DataFrame) -> DataFrame:
     return pairs.where(inside).withColumn("d2", dx * dx + dy * dy).withColumn("distance", F.sqrt("d2") / 2)
 
 
-def greedy_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs accepted by rising distance while both sides are free; ties by face, then body. A frame has few pairs, so a fold of its array does it."""
-    order = F.array_sort(F.collect_list(F.struct("d2", "face_idx", "body_idx")))
-    none = F.array().cast("array<struct<d2:bigint,face_idx:int,body_idx:int>>")
+def _accepted(sorted_pairs: Column) -> Column:
+    """Of an array of pairs in order, those whose sides are both free when their turn comes."""
 
     def step(acc, p):
         taken = F.exists(acc, lambda a: (a["face_idx"] == p["face_idx"]) | (a["body_idx"] == p["body_idx"]))
         return F.when(taken, acc).otherwise(F.concat(acc, F.array(p)))
 
+    return F.aggregate(sorted_pairs, F.array().cast("array<struct<d2:bigint,face_idx:int,body_idx:int>>"), step)
+
+
+def greedy_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs accepted by rising distance while both sides are free; ties by face, then body. A frame has few pairs, so a fold of its array does it."""
+    order = F.array_sort(F.collect_list(F.struct("d2", "face_idx", "body_idx")))
     slim = pairs.select(*FRAME, "d2", F.col("face_idx").cast("int").alias("face_idx"), F.col("body_idx").cast("int").alias("body_idx"))
-    found = slim.groupBy(*FRAME).agg(F.aggregate(order, none, step).alias("ps"))
+    found = slim.groupBy(*FRAME).agg(_accepted(order).alias("ps"))
     return found.select(*FRAME, F.explode("ps").alias("p")).select(*FRAME, "p.face_idx", "p.body_idx", "p.d2", (F.sqrt("p.d2") / 2).alias("distance"))
 
 
@@ -54,21 +58,35 @@ def persons(detections: DataFrame) -> DataFrame:
     """Every face and body in one person: spatial pairs, then pairs by rank, then those alone. Initial quality from confidences.
 
     creation_seq is the order in which they arise: spatial pairs by distance, then the others by rank, pairs before faces before bodies.
+    A frame holds what one image shows, so its detections are gathered by a single shuffle and matched as arrays.
     """
-    spatial = greedy_pairs(faces_in_bodies(detections))
-    left = leftover_pairs(detections, spatial)
-    order = F.row_number().over(Window.partitionBy(*FRAME).orderBy("step", "o1", "o2", "o3"))
-    zero = F.lit(0).cast("long")
-    step = F.when(F.col("face_idx").isNotNull() & F.col("body_idx").isNotNull(), 2).when(F.col("face_idx").isNotNull(), 3).otherwise(4)
-    rows = spatial.select(*FRAME, "face_idx", "body_idx", F.lit(1).alias("step"), F.col("d2").alias("o1"), F.col("face_idx").cast("long").alias("o2"), F.col("body_idx").cast("long").alias("o3"))
-    rows = rows.unionByName(left.select(*FRAME, F.col("face_idx").cast("int").alias("face_idx"), F.col("body_idx").cast("int").alias("body_idx"), step.alias("step"), F.col("rn").cast("long").alias("o1"), zero.alias("o2"), zero.alias("o3")))
-    rows = rows.withColumn("creation_seq", order)
-    face = _side(detections, "face").withColumn("face_idx", F.col("face_idx").cast("int"))
-    body = _side(detections, "body").withColumn("body_idx", F.col("body_idx").cast("int"))
-    rows = rows.join(face, [*FRAME, "face_idx"], "left").join(body, [*FRAME, "body_idx"], "left")
-    method = F.element_at(F.array(*map(F.lit, ("spatial", "index", "face_only", "body_only"))), F.col("step"))
-    quality = F.coalesce("face_conf", F.lit(0.0)) * 0.7 + F.coalesce("body_conf", F.lit(0.0)) * 0.3
-    return rows.select(*FRAME, "creation_seq", method.alias("method"), "face_idx", "body_idx", "face_conf", "body_conf", F.coalesce("body_cx2", "face_cx2").alias("cx2"), quality.alias("quality"))
+    # idx follows the centre, so that the struct's own order is that of the ranks from left to right
+    box = F.struct(F.expr("x1 + x2").alias("cx2"), F.col("idx").cast("int").alias("idx"), F.expr("y1 + y2").alias("cy2"), "conf", *geometry.BOX)
+    side = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, box)))
+    frames = detections.where(F.col("kind").isin("face", "body")).groupBy(*FRAME).agg(side("face").alias("faces"), side("body").alias("bodies"))
+
+    def around(face):
+        """The face with each body that holds its centre."""
+        inside = lambda b: face["cx2"].between(2 * b["x1"], 2 * b["x2"]) & face["cy2"].between(2 * b["y1"], 2 * b["y2"])
+
+        def pair(b):
+            dx, dy = (face["cx2"] - b["cx2"]).cast("long"), (face["cy2"] - b["cy2"]).cast("long")
+            return F.struct((dx * dx + dy * dy).alias("d2"), face["idx"].alias("face_idx"), b["idx"].alias("body_idx"))
+
+        return F.transform(F.filter("bodies", inside), pair)
+
+    frames = frames.withColumn("spatial", _accepted(F.array_sort(F.flatten(F.transform("faces", around)))))
+    free = lambda side, index: F.filter(side, lambda x: ~F.exists("spatial", lambda m: m[index] == x["idx"]))
+    of = lambda side, index: F.get(F.filter(side, lambda x: x["idx"] == index), F.lit(0))
+    near = F.transform("spatial", lambda m: F.struct(of("faces", m["face_idx"]).alias("face"), of("bodies", m["body_idx"]).alias("body"), F.lit(True).alias("spatial")))
+    by_rank = F.transform(F.arrays_zip(free("faces", "face_idx").alias("face"), free("bodies", "body_idx").alias("body")), lambda z: F.struct(z["face"].alias("face"), z["body"].alias("body"), F.lit(False).alias("spatial")))
+    rows = frames.select(*FRAME, F.posexplode(F.concat(near, by_rank)).alias("place", "p")).select(*FRAME, (F.col("place") + 1).alias("creation_seq"), "p.*")
+    method = F.when(F.col("spatial"), "spatial").when(F.col("face").isNotNull() & F.col("body").isNotNull(), "index").when(F.col("face").isNotNull(), "face_only").otherwise("body_only")
+    quality = F.coalesce("face.conf", F.lit(0.0)) * 0.7 + F.coalesce("body.conf", F.lit(0.0)) * 0.3
+    return rows.select(
+        *FRAME, "creation_seq", method.alias("method"), F.col("face.idx").alias("face_idx"), F.col("body.idx").alias("body_idx"), F.col("face.conf").alias("face_conf"),
+        F.col("body.conf").alias("body_conf"), F.coalesce("body.cx2", "face.cx2").alias("cx2"), quality.alias("quality"),
+    )
 
 
 def with_person_ids(found: DataFrame) -> DataFrame:
