@@ -4,7 +4,7 @@ A rule has a host and a path prefix and fits its host and all subdomains. Its li
 host and the whole words of its path. Token frequencies are counted over all URLs, and each rule is filed under its
 rarest token. A URL's tokens fetch candidate rules, and only those run their regular expression; the longest that
 fits wins (then the last in text order). Small rule sets travel inside the expression, so nothing is shuffled; larger ones are joined
-by token on distinct URLs.
+by token on distinct URLs, each rule once for every salt, so that a token which every URL has is no hot key.
 
 A URL that is null or has no `://` has an empty host and path and fits no rule. What no rule fits is allowed.
 Repeated rows each get their row. An empty table gives an empty result.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules that fit into an expression.
 INLINE = 1000
+#: Parts that the URLs of a token are split into where rules are joined.
+SALTS = 32
 
 
 def parts(pages: DataFrame) -> DataFrame:
@@ -62,7 +64,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], otherwise: str =
         pattern = r"^(?:[^/]*\.)?" + re.escape(host) + re.escape(path) if path else r"^(?:[^/]*\.)?" + re.escape(host) + "(?:/|$)"
         filed.append((rarest, len(host) + len(path), host + path, verdict, pattern))
     address = F.concat("host", "path")
-    out = lambda best: (F.col(f"{best}.rule").alias("rule"), F.coalesce(F.col(f"{best}.verdict"), F.lit(otherwise)).alias("verdict"))
+    spare = "_best"
+    while spare in pages.columns:
+        spare += "_"
+    out = (F.col(f"{spare}.rule").alias("rule"), F.coalesce(F.col(f"{spare}.verdict"), F.lit(otherwise)).alias("verdict"))
     if not filed:
         return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(otherwise)})
     if len(filed) <= INLINE:
@@ -73,9 +78,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], otherwise: str =
         fetched = F.flatten(F.transform(F.array_intersect(url_tokens(), F.array(*map(F.lit, index))), lambda t: held[t]))
         fitting = F.filter(fetched, lambda r: F.rlike(address, r["pattern"]))
         best = F.array_max(F.transform(fitting, lambda r: F.struct(r["size"], r["rule"], r["verdict"])))
-        return pages.withColumn("_best", best).select(*pages.columns, *out("_best"))
+        return pages.withColumn(spare, best).select(*pages.columns, *out)
     index = spark.createDataFrame(filed, "token string, size int, rule string, verdict string, pattern string")
-    urls = pages.select("host", "path").distinct().withColumn("token", F.explode(url_tokens()))
-    fitting = urls.join(index, "token").where(F.rlike(address, F.col("pattern")))
-    best = fitting.groupBy("host", "path").agg(F.max(F.struct("size", "rule", "verdict")).alias("_best"))
-    return pages.join(best, ["host", "path"], "left").select(*pages.columns, *out("_best"))
+    index = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    urls = pages.select("host", "path").distinct().withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+    fitting = urls.withColumn("token", F.explode(url_tokens())).join(index, ["token", "salt"]).where(F.rlike(address, F.col("pattern")))
+    best = fitting.groupBy("host", "path").agg(F.max(F.struct("size", "rule", "verdict")).alias(spare))
+    return pages.join(best, ["host", "path"], "left").select(*pages.columns, *out)

@@ -82,8 +82,8 @@ def test_revisits(spark):
 URLS = ["http://www.Example.com/en/1?x#y", "https://example.com/en/", "https://a.example.com/en", "http://b.net/es/x", "http://net/fr/", "http://knet/es/x", "HTTP://example.org/a", "nothing", "", None, "x://example.com", "http://EXAMPLE.com?/en/", "http://a.net/ES/", "http://example.com/en/é"]
 
 
-def judged(host, path):
-    fit = [(len(h) + len(p), h + p, v) for v, h, p in queries.URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+def judged(host, path, rules=queries.URL_RULES):
+    fit = [(len(h) + len(p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return max(fit)[1:] if fit else (None, "allow")
 
 
@@ -104,6 +104,19 @@ def test_url_rules(spark, monkeypatch, inline):
     assert {r["verdict"] for r in url_filter.judge(pages, []).collect()} == {"allow"}
 
 
+@pytest.mark.parametrize("inline", [1000, 0])
+def test_rules_without_a_token_and_clashing_columns(spark, monkeypatch, inline):
+    monkeypatch.setattr(url_filter, "INLINE", inline)
+    rules = [("block", "", "/x"), ("block", "com", "/"), ("allow", "a.com", "/en")]
+    hosts = ["", "b.", "a.com", "b.a.com", *[f"h{i}.com" for i in range(200)], "a.org"]
+    pages = spark.createDataFrame([(f"http://{h}{p}", "mine", 7, "t") for h in hosts for p in ("/xy", "/en/1")], "url string, _best string, salt int, token string")
+    got = url_filter.judge(pages, rules).collect()
+    assert len(got) == 2 * len(hosts)
+    for r in got:
+        assert (r["rule"], r["verdict"]) == judged(r["host"], r["path"], rules)
+        assert (r["_best"], r["salt"], r["token"]) == ("mine", 7, "t")
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
 def test_pipeline_keeps_clean_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
