@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framesift.functions import geometry, naming
+from framesift.operators.ranks import rank_within
 
 
 def crop_plan(boxes: DataFrame, padding: float, aspect: tuple[int, int] | None = None, resize: int | None = None, default_size: int = 640) -> DataFrame:
@@ -57,7 +58,7 @@ def crop_pixels(rasters: DataFrame, plan: DataFrame, key: str) -> DataFrame:
 
 def unique_names(rows: DataFrame, name: str = "name", key: str = "video_id", order: str = "seq") -> DataFrame:
     """The first use of a name in a video keeps it; later ones get _001, _002 before the extension."""
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, name).orderBy(order)) - 1)
+    rows = rank_within(rows, [key, name], [F.col(order)], "_n").withColumn("_n", F.col("_n") - 1)
     numbered = naming.with_suffix(F.col(name), F.concat(F.lit("_"), naming.rank_text(F.col("_n"))))
     return rows.withColumn("unique_name", F.when(F.col("_n") == 0, F.col(name)).otherwise(numbered)).drop("_n")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.functions import quality as q
+from framesift.operators.ranks import rank_within
 from framesift.operators.store import materialize
 
 LAPLACIAN = [[0, 1, 0], [1, -4, 1], [0, 1, 0]]
@@ -110,8 +111,8 @@ def resolve_frames(frames: DataFrame, inferred: DataFrame, direct: DataFrame) ->
 
 def ranked(frames: DataFrame) -> DataFrame:
     """quality_rank within the video by falling overall, ties by frame_seq; null without quality."""
-    order = Window.partitionBy("video_id", F.col("overall").isNotNull()).orderBy(F.desc("overall"), "frame_seq")
-    return frames.withColumn("quality_rank", F.when(F.col("overall").isNotNull(), F.row_number().over(order)))
+    found = rank_within(frames, ["video_id"], [F.desc_nulls_last("overall"), F.col("frame_seq")], "quality_rank")
+    return found.withColumn("quality_rank", F.when(F.col("overall").isNotNull(), F.col("quality_rank")))
 
 
 def corpus_ranked(frames: DataFrame, score: str, tie: str) -> DataFrame:

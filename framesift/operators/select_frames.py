@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framesift.functions.angles import DIRECTIONS, clamp
+from framesift.operators.ranks import rank_within
 from framesift.operators.select_core import diverse_topk, pick_for
 from framesift.operators.store import materialize
 
@@ -51,7 +52,7 @@ def head_score(quality: Column, face_ratio: Column, conf: Column, weight: float
 
 def in_category(rows: DataFrame) -> DataFrame:
     """Adds rank within (video, category) by falling score, ties by frame_seq."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("score"), "frame_seq")))
+    return rank_within(rows, KEYS, [F.desc("score"), F.col("frame_seq")], "rank")
 
 
 def category_order(groups: DataFrame, fixed: tuple[str, ...] | None = None) -> DataFrame:
@@ -141,7 +142,7 @@ def quota(duration: Column, base: int, cap: int) -> Column:
 
 def by_quality(frames: DataFrame) -> DataFrame:
     """Adds rank within the video by falling quality, missing as 0."""
-    return frames.withColumn("rank", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc(F.coalesce("quality", F.lit(0.0))), "frame_seq")))
+    return rank_within(frames, ["video_id"], [F.desc(F.coalesce("quality", F.lit(0.0))), F.col("frame_seq")], "rank")
 
 
 def select_frames(frames: DataFrame, labels: DataFrame, closeups: DataFrame, k: Column | int, gap: float) -> tuple[DataFrame, DataFrame]:

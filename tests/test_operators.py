@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from framesift.functions import angles, geometry, naming
-from framesift.operators import associate, crops, quality, sampling, select_core, select_persons
+from framesift.operators import associate, crops, quality, ranks, sampling, select_core, select_persons
 from framesift.operators.jobs import apply_detector
 
 
@@ -163,3 +163,15 @@ def test_reselection_drops_what_is_empty_now(spark, tmp_path):
         streams.reselect(spark, updates, everything, lambda r: r.where("frame_id < 3"), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
         got = {tuple(r) for r in spark.read.schema("frame_id long, video_id long").parquet(f"{tmp_path}/out").select("video_id", "frame_id").collect()}
         assert got == ({(1, 1), (2, 1)} if n == 0 else {(1, 1)})
+
+
+@pytest.mark.parametrize("whole", [0, 40, 10**6])
+def test_ranks_within_groups_of_any_size(spark, whole):
+    data = [(None if i % 50 == 0 else "hot" if i % 3 else f"v{i % 20}", i * 7919 % 13, i) for i in range(600)]
+    rows = spark.createDataFrame(data, "video_id string, score int, seq int").repartition(8)
+    got = {r["seq"]: r["rank"] for r in ranks.rank_within(rows, ["video_id"], [F.desc("score"), F.col("seq")], "rank", whole).collect()}
+    want, n = {}, {}
+    for video, _, seq in sorted(data, key=lambda r: (-r[1], r[2])):
+        n[video] = want[seq] = n.get(video, 0) + 1
+    assert got == want
+    assert ranks.rank_within(rows.limit(0), ["video_id"], [F.col("seq")], "rank", whole).count() == 0
