@@ -75,17 +75,18 @@ add(
 RASTER = "v_raster"
 
 
-def _stencil_sql(weights: list[list[int]]) -> str:
-    """Expression list over px (1-based) of an 8x8 raster with a mirrored border."""
-    m = lambda i: -i if i < 0 else 14 - i if i > 7 else i
+def _stencil_sql(weights: list[list[int]], x1: int = 0, y1: int = 0, x2: int = 8, y2: int = 8) -> str:
+    """Expression list over px (1-based) of a box of an 8x8 raster, with a mirrored border."""
+    m = lambda i, a, b: 2 * a - i if i < a else 2 * (b - 1) - i if i >= b else i
     cells = []
-    for y in range(8):
-        for x in range(8):
-            cells.append(" + ".join(f"px[{m(y + dy) * 8 + m(x + dx) + 1}] * ({weights[dy + 1][dx + 1]})" for dy in (-1, 0, 1) for dx in (-1, 0, 1) if weights[dy + 1][dx + 1]))
+    for y in range(y1, y2):
+        for x in range(x1, x2):
+            cells.append(" + ".join(f"px[{m(y + dy, y1, y2) * 8 + m(x + dx, x1, x2) + 1}] * ({weights[dy + 1][dx + 1]})" for dy in (-1, 0, 1) for dx in (-1, 0, 1) if weights[dy + 1][dx + 1]))
     return "[" + ", ".join(f"cast({c} as double)" for c in cells) + "]"
 
 
-FIGURES = f"""c as (select vec_id, px, {_stencil_sql(quality.LAPLACIAN)} as lap, {_stencil_sql(quality.SOBEL_X)} as sx, {_stencil_sql(quality.SOBEL_Y)} as sy from v_raster),
+STENCILS = (("lap", quality.LAPLACIAN), ("sx", quality.SOBEL_X), ("sy", quality.SOBEL_Y))
+FIGURES = f"""c as (select vec_id, px, {", ".join(f"{_stencil_sql(k)} as {n}" for n, k in STENCILS)} from v_raster),
  g as (select vec_id, list_var_pop(lap) as laplacian, list_var_pop(list_transform(list_zip(sx, sy), lambda z: sqrt(z[1] * z[1] + z[2] * z[2]))) as sobel, list_avg(px) as brightness, list_stddev_pop(px) as contrast from c)"""
 FOUR = ", ".join(f"round({c}, 6) as {c}" for c in quality.FIGURES)
 RAMP = "case when brightness between 80 and 180 then 1 when brightness < 30 or brightness > 225 then 0 when brightness < 80 then (brightness - 30) / 5e1 else (225 - brightness) / 45e0 end"
@@ -99,7 +100,18 @@ def _rbox(r):
     return quality.raster_bbox_quality(r, boxes, "vec_id")
 
 
-add("raster_bbox_quality", RASTER, _rbox)
+def _box_sql(box: int, x1: int, y1: int, x2: int, y2: int) -> str:
+    cells = ", ".join(f"px[{y * 8 + x + 1}]" for y in range(y1, y2) for x in range(x1, x2))
+    return f"select vec_id, {box} as box_id, [{cells}] as px, {', '.join(f'{_stencil_sql(k, x1, y1, x2, y2)} as {n}' for n, k in STENCILS)} from v_raster"
+
+
+# the boxes of _rbox, clamped to 8 x 8
+add(
+    "raster_bbox_quality", RASTER, _rbox,
+    f"""with c as ({_box_sql(0, 0, 1, 4, 7)} union all {_box_sql(1, 2, 1, 8, 7)}),
+    g as (select vec_id, box_id, list_var_pop(lap) as laplacian, list_var_pop(list_transform(list_zip(sx, sy), lambda z: sqrt(z[1] * z[1] + z[2] * z[2]))) as sobel, list_avg(px) as brightness, list_stddev_pop(px) as contrast from c)
+    select vec_id, cast(box_id as bigint) as box_id, {FOUR} from g""",
+)
 add("quality_overall", RASTER, lambda r: quality.assessed(quality.raster_quality(r)).select("vec_id", "overall"), f"with {FIGURES} select vec_id, round({TOTAL}, 6) as overall from g")
 darker = lambda r: quality.raster_quality(r).withColumns({"laplacian": F.col("laplacian") / 20, "brightness": F.col("brightness") * 2.2 - 60, "contrast": F.col("contrast") * 0.8})
 DARKER = "d as (select vec_id, laplacian / 2e1 as laplacian, brightness * 22e-1 - 60 as brightness, contrast * 8e-1 as contrast from g)"
