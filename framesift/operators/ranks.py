@@ -18,8 +18,9 @@ def rank_within(rows: DataFrame, keys: list[str], order: list[Column], name: str
     group with a third of all rows is thus a third of the ranges. The result does not depend on `whole`. Null keys are a group, sorted by one task.
     """
     alone = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    large = rows.groupBy(*keys).count().where(F.col("count") > whole).select(*keys).dropna()
-    if large.isEmpty():
+    over = lambda by: rows.groupBy(*by).count().where(F.col("count") > whole).select(*by).dropna()
+    # no group is larger than all rows of its first key, which are cheaper to count
+    if over(keys[:1]).isEmpty() or (large := over(keys)).isEmpty():
         return rows.withColumn(name, alone)
     small = rows.join(large, keys, "left_anti").withColumn(name, alone)
     ranges = rows.join(large, keys, "left_semi").orderBy(*keys, *order).select(*rows.columns, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at"))
