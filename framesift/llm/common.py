@@ -34,14 +34,18 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that `materialize` wrote and nothing refers to any more."""
     for t in tables:
         spark = t.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
             if shared_dir(spark).split(":", 1)[-1].lstrip("/") in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                delete_path(spark, folder)
 
 
 def words(text: str | None) -> list[bytes]:

@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 
 from framesift.llm import decontaminate, language_id, packing, quality, toxicity, url_filter, warc
 from framesift.llm.common import crc_fold
+from framesift.llm.line_dedup import drop_repeated_lines
+from framesift.llm.periodic_runs import looped, periodic_runs
 from framesift.llm.simhash import near_duplicates
 from framesift.llm.substring_dedup import remove_repeats
+from framesift.llm.token_alignment import align
 from framesift.llm.topk import top_k
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
-def vocabulary() -> tuple[str, str]:
-    """Files of the packing vocabulary, for `tokenizers` and as ranks, in FRAMESIFT_TOKENIZERS or where the public tokenizers are installed."""
-    folder, names = os.environ.get("FRAMESIFT_TOKENIZERS"), ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+def vocabulary(*names: str) -> tuple[str, ...]:
+    """Tokenizer files, by default those of the packing vocabulary (for `tokenizers` and as ranks), in FRAMESIFT_TOKENIZERS or where the public tokenizers are installed."""
+    folder, names = os.environ.get("FRAMESIFT_TOKENIZERS"), names or ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
     return tuple(f"{folder}/{n}" if folder else public_tokenizers.path(n) for n in names)
 
 
@@ -88,11 +91,26 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), change=("doc_id", looped))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), *vocabulary(), *vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_language_id, op3_decontamination, op4_toxicity, op5_packing,
         op6_quality, op7_topk, op8_warc_revisits, op9_url_filters, op10_simhash_near_dedup,
+        op11_periodic_runs, op12_line_dedup, op13_token_alignment,
     )
 }
 
@@ -147,4 +165,13 @@ ORACLE_SQL: dict[str, str] = {
         m as (select c.page_id, c.host, c.path, max_by({{'rule': rhost || rpath, 'verdict': verdict}}, length(rhost) + length(rpath)) as best
             from c join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by all)
         select c.page_id, c.host, c.path, best.rule as rule, coalesce(best.verdict, 'allow') as verdict from c left join m using (page_id, host, path)""",
+    "op12_line_dedup": f"""
+        with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+        u as (select r, doc_id, unnest(ls) as line, unnest(range(len(ls))) as i from d),
+        l as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_UPPER_LOWER}) as k from u),
+        h as (select distinct r, doc_id, k from l where length(k) >= 40),
+        f as (select k, max(doc_id) as keeper from h group by k having count(*) >= 5),
+        j as (select l.*, coalesce(keeper is not null and (doc_id is null or doc_id < keeper), false) as gone from l left join f using (k))
+        select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+        from j group by r, doc_id""",
 }
