@@ -5,8 +5,8 @@ lower-cased; keys of at least `least` code points count, as 128-bit hashes of th
 count apart. Keys in at least `documents` documents lose all their lines except in the rows with the largest id that holds them. A null id is below
 all others: rows without an id keep such lines only if no holder has one.
 
-`LineRuns` keeps the keys of all batches added so far as runs: tables bucketed by the key and sorted in each bucket, so that a batch is merged with them
-without moving them. Each new batch is reduced to a row a key (before and after its shuffle, so a line of a third of all documents is a few rows a
+`LineRuns` keeps the keys of all batches added so far as runs: partitions of a table that is bucketed by the key and sorted in each bucket, so
+that a batch is merged with them without moving them. Each new batch is reduced to a row a key (before and after its shuffle, so a line of a third of all documents is a few rows a
 task), merge-anti-joined with the runs, and written as a run of level 0: its unseen keys, and its counts of those seen before, marked
 so. `fan_in` runs of a level are compacted into one of the next, which adds up a key's rows; a key is rewritten once a level. The store
 takes any number of batches in any order; a batch whose write did not end is no run.
@@ -32,8 +32,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from framesift.llm.common import delete_path, discard, materialize, shared_dir
 
-RUN = ["key", "n", "keeper", "seen"]
-
 
 def key_of(line: bytes, least: int) -> bytes | None:
     """The line's key, or None if it has fewer than `least` code points."""
@@ -62,43 +60,34 @@ def line_keys(docs: DataFrame, id_column: str, batch, least: int) -> DataFrame:
 
 
 class LineRuns:
-    """Levels of sorted runs of keys with their number of documents and largest id."""
+    """Levels of sorted runs of keys with their number of documents and largest id: partitions of one table, which is bucketed by the key."""
 
     def __init__(self, spark: SparkSession, fan_in: int = 4):
-        self.spark, self.fan_in, self.levels = spark, fan_in, []
+        self.spark, self.fan_in, self.levels, self.made = spark, fan_in, [[]], 0
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"framesift_lines_{uuid.uuid4().hex}"
-        self.made = 0
+        self.table = f"framesift_lines_{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(spark)}/{self.table}"
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        table = f"{self.name}_{self.made}"
-        self.made += 1
-        sorted_run = rows.select(*RUN).repartition(self.buckets, "key").write.bucketBy(self.buckets, "key").sortBy("key")
-        sorted_run.option("path", f"{shared_dir(self.spark)}/{table}").option("compression", "zstd").saveAsTable(table)
+        sorted_run = rows.select("key", "n", "keeper", "seen", F.lit(self.made).alias("run")).repartition(self.buckets, "key").write.mode("append")
+        sorted_run.partitionBy("run").bucketBy(self.buckets, "key").sortBy("key").option("path", self.path).option("compression", "zstd").saveAsTable(self.table)
         self.levels += [[] for _ in range(level + 1 - len(self.levels))]
-        self.levels[level].append(table)
-
-    def _drop(self, tables: list[str]) -> None:
-        for table in tables:
-            self.spark.sql(f"drop table {table}")
-            delete_path(self.spark, f"{shared_dir(self.spark)}/{table}")
+        self.levels[level].append(self.made)
+        self.made += 1
 
-    def tables(self) -> list[str]:
-        return [t for level in self.levels for t in level]
+    def _rows(self, runs: list[int]) -> DataFrame:
+        return self.spark.table(self.table).where(F.col("run").isin(runs))
 
-    def _union(self, tables: list[str]) -> DataFrame:
-        out = self.spark.table(tables[0])
-        for t in tables[1:]:
-            out = out.unionByName(self.spark.table(t))
-        return out
+    def _merged(self, runs: list[int]) -> DataFrame:
+        return self._rows(runs).groupBy("key").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"), F.min("seen").alias("seen"))
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch: a row for each line key of each document, (key, id)."""
         batch = lines.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
-        known = self.tables()
+        known = [run for level in self.levels for run in level]
         if known:
-            unseen = batch.join(self._union(known).where("not seen").select("key", F.lit(True).alias("found")), "key", "left")
-            batch = unseen.withColumn("seen", F.col("found").isNotNull())
+            met = batch.join(self._rows(known).where("not seen").select("key", F.lit(True).alias("found")), "key", "left")
+            batch = met.withColumn("seen", F.col("found").isNotNull())
         else:
             batch = batch.withColumn("seen", F.lit(False))
         self._write(batch, 0)
@@ -106,19 +95,17 @@ class LineRuns:
         while len(self.levels[level]) >= self.fan_in:
             full, self.levels[level] = self.levels[level], []
             self._write(self._merged(full), level + 1)
-            self._drop(full)
+            for run in full:
+                delete_path(self.spark, f"{self.path}/run={run}")
             level += 1
 
-    def _merged(self, tables: list[str]) -> DataFrame:
-        return self._union(tables).groupBy("key").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"), F.min("seen").alias("seen"))
-
     def counts(self) -> DataFrame:
         """(key, n, keeper) of all batches."""
-        return self._merged(self.tables()).drop("seen")
+        return self._merged([run for level in self.levels for run in level]).drop("seen")
 
     def close(self) -> None:
-        self._drop(self.tables())
-        self.levels = []
+        self.spark.sql(f"drop table if exists {self.table}")
+        delete_path(self.spark, self.path)
 
 
 def dropped_keys(docs: DataFrame, id_column: str, least: int, documents: int, batches: int, fan_in: int, hot: int) -> DataFrame:
