@@ -157,5 +157,6 @@ def drop_repeated_lines(
 
     kept = [F.struct(*carried).alias("kept")] if carried else []
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64("text").alias("body"), "text", *kept).alias("d")
-    met = rows.join(gone.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.body") == F.col("g.body")), "left")
+    # the dropped keys grow with the documents: a merge at any size
+    met = rows.join(gone.hint("merge").alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.body") == F.col("g.body")), "left")
     return met.select("d.text", "g.gone", *([F.col("d.kept")] if carried else [])).mapInArrow(run, schema)
