@@ -28,9 +28,18 @@ def face_crop(video: Column, head: Column, rank: Column, person_id: Column, exte
     return F.concat(_joined(video, person_part(person_id), F.lit("face"), head, rank_text(rank)), F.lit("." + extension))
 
 
+def stem(name: Column) -> Column:
+    """The name without its extension."""
+    return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+
+
+def extension(name: Column) -> Column:
+    return F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1)
+
+
 def with_suffix(name: Column, suffix: Column) -> Column:
     """The suffix before the extension."""
-    return F.concat(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), suffix, F.regexp_extract(name, r"(?<=.)(\.[^.]*)$", 1))
+    return F.concat(stem(name), suffix, extension(name))
 
 
 def crop_suffixed(name: Column) -> Column:

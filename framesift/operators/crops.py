@@ -6,9 +6,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framesift.functions import geometry, naming
 from framesift.operators.ranks import rank_within
+from framesift.operators.rasters import binary, views
+from framesift.operators.store import materialize
+
+#: Bytes of crops in one Arrow batch.
+OUTPUT = 32 << 20
+#: A stem that another stem's number may have made.
+NUMBERED = r"_(?:00[1-9]|0[1-9][0-9]|[1-9][0-9]{2,})$"
 
 
 def crop_plan(boxes: DataFrame, padding: float, aspect: tuple[int, int] | None = None, resize: int | None = None, default_size: int = 640) -> DataFrame:
@@ -31,36 +39,100 @@ def resize_plan(frames: DataFrame, most: int | None) -> DataFrame:
 
 
 def crop_pixels(rasters: DataFrame, plan: DataFrame, key: str) -> DataFrame:
-    """Cuts planned boxes (cx1..cy2) out of gray rasters: (key, box_id, px, alpha, width, height). Beyond the raster both are 0."""
+    """Cuts planned boxes (cx1..cy2) out of gray rasters: (key, box_id, px, alpha, width, height), px and alpha as bytes. Beyond the raster both are 0.
+
+    A box without width or height is empty; a null raster, or one of another size than it says, gives no rows.
+    """
     each = plan.groupBy(key).agg(F.collect_list(F.struct("box_id", "cx1", "cy1", "cx2", "cy2")).alias("boxes"))
-    rows = rasters.join(each, key).select(key, "px", "width", "height", "boxes")
+    rows = binary(rasters).join(each, key).select(key, "px", "width", "height", "boxes")
     kind = rasters.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            out = []
-            for k, px, w, h, found in zip(*(b.column(c).to_pylist() for c in (key, "px", "width", "height", "boxes"))):
-                image = np.array(px, np.int32).reshape(h, w)
-                for x in found:
-                    x1, y1, x2, y2 = x["cx1"], x["cy1"], x["cx2"], x["cy2"]
-                    cut, alpha = np.zeros((y2 - y1, x2 - x1), np.int32), np.zeros((y2 - y1, x2 - x1), np.int32)
+            types = [b.schema.field(key).type, pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
+            out, size = [], 0
+
+            def flush():
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) if out else [[]] * 6, types)], [key, "box_id", "px", "alpha", "width", "height"])  # noqa: B023
+
+            for k, image, found in zip(b.column(key).to_pylist(), views(b), b.column("boxes").to_pylist()):
+                for x in found if image is not None else ():
+                    h, w = image.shape
+                    x1, y1, x2, y2 = x["cx1"], x["cy1"], max(x["cx1"], x["cx2"]), max(x["cy1"], x["cy2"])
+                    cut, alpha = np.zeros((y2 - y1, x2 - x1), np.uint8), np.zeros((y2 - y1, x2 - x1), np.uint8)
                     a, c, d, e = max(0, x1), max(0, y1), min(w, x2), min(h, y2)
                     if d > a and e > c:
                         cut[c - y1 : e - y1, a - x1 : d - x1] = image[c:e, a:d]
                         alpha[c - y1 : e - y1, a - x1 : d - x1] = 255
-                    out.append((k, x["box_id"], cut.ravel().tolist(), alpha.ravel().tolist(), x2 - x1, y2 - y1))
-            cols = list(zip(*out)) if out else [[]] * 6
-            types = [b.schema.field(key).type, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [key, "box_id", "px", "alpha", "width", "height"])
+                    out.append((k, x["box_id"], cut.tobytes(), alpha.tobytes(), x2 - x1, y2 - y1))
+                    size += 2 * cut.size
+                    if size > OUTPUT:
+                        yield flush()
+                        out, size = [], 0
+            yield flush()
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, box_id long, px array<int>, alpha array<int>, width int, height int")
+    return rows.mapInArrow(run, f"`{key}` {kind}, box_id long, px binary, alpha binary, width int, height int")
 
 
 def unique_names(rows: DataFrame, name: str = "name", key: str = "video_id", order: str = "seq") -> DataFrame:
-    """The first use of a name in a video keeps it; later ones get _001, _002 before the extension."""
-    rows = rank_within(rows, [key, name], [F.col(order)], "_n").withColumn("_n", F.col("_n") - 1)
-    numbered = naming.with_suffix(F.col(name), F.concat(F.lit("_"), naming.rank_text(F.col("_n"))))
-    return rows.withColumn("unique_name", F.when(F.col("_n") == 0, F.col(name)).otherwise(numbered)).drop("_n")
+    """Adds unique_name, which no two rows of a video share, by falling precedence of `order` (unique in a video).
+
+    The first use of a name keeps it. Later ones get _001, _002 and so on before the extension, counted by stem, whatever the extension; a number
+    whose name is taken already, by a name of its own or a numbered one, is passed over. A null name stays null. A null key is a key.
+
+    Where no name reads like another's numbered one, the number is the row's place among its stem's later uses, which ranks of any group size
+    give. Only names of the same root (the stem without its trailing numbers) can meet. Roots in which a stem with later uses has its numbered name
+    in the table are streamed in order, root by root, by tasks that hold a root's names.
+    """
+    stem = naming.stem(F.col(name))
+    parent = F.when(stem.rlike(NUMBERED), F.regexp_replace(stem, NUMBERED, ""))
+    root = F.struct(F.col(key).alias("key"), F.regexp_replace(stem, f"(?:{NUMBERED[:-1]})+$", "").alias("stem"))
+    out = [*[c for c in rows.columns if c != "unique_name"], "unique_name"]
+    marked = rows.withColumns({"_root": root, "_stem": F.struct(F.col(key).alias("key"), stem.alias("stem")), "_name": F.struct(F.col(key).alias("key"), F.col(name).alias("name"))})
+    again = marked.groupBy("_name").agg(F.first("_stem").alias("_stem"), F.count("*").alias("n")).where("n > 1").select("_stem").distinct()
+    children = marked.where(parent.isNotNull()).select(F.struct(F.col(key).alias("key"), parent.alias("stem")).alias("_stem"), "_root")
+    meeting = materialize(children.join(again, "_stem", "left_semi").select("_root").distinct(), "meeting-names")
+    if meeting.isEmpty():
+        return _numbered(marked, name, order).select(*out)
+    plain = _numbered(marked.join(meeting, "_root", "left_anti"), name, order).select(*out)
+    return plain.unionByName(_streamed(marked.join(meeting, "_root", "left_semi"), rows.columns, name, order).select(*out))
+
+
+def _numbered(marked: DataFrame, name: str, order: str) -> DataFrame:
+    """The k-th later use of a stem gets the number k."""
+    used = rank_within(marked, ["_name"], [F.col(order)], "_use")
+    later = rank_within(used.where(f"_use > 1 and `{name}` is not null"), ["_stem"], [F.col(order)], "_k")
+    numbered = naming.with_suffix(F.col(name), F.concat(F.lit("_"), naming.rank_text(F.col("_k"))))
+    first = used.where(f"_use = 1 or `{name}` is null").withColumn("unique_name", F.col(name))
+    return first.drop("_use").unionByName(later.withColumn("unique_name", numbered).drop("_use", "_k"))
+
+
+def _streamed(marked: DataFrame, columns: list[str], name: str, order: str) -> DataFrame:
+    kept = [c for c in columns if c != "unique_name"]
+    stems = marked.withColumns({"_head": naming.stem(F.col(name)), "_tail": naming.extension(F.col(name))})
+    placed = stems.repartition("_root").sortWithinPartitions("_root", order).select(*kept, "_root", F.col(name).alias("_own"), "_head", "_tail")
+    schema = T.StructType([marked.schema[c] for c in kept] + [T.StructField("unique_name", T.StringType())])
+
+    def run(batches):
+        at, used, counts = None, set(), {}
+        for b in batches:
+            out = []
+            for where, own, head, tail in zip(*(b.column(c).to_pylist() for c in ("_root", "_own", "_head", "_tail"))):
+                where = tuple(where.values())
+                if where != at:
+                    at, used, counts = where, set(), {}
+                found = own
+                if own in used:
+                    n = counts.get(head, 0) + 1
+                    while (found := f"{head}_{n:03d}{tail}") in used:
+                        n += 1
+                    counts[head] = n
+                if own is not None:
+                    used.add(found)
+                out.append(found)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(out, pa.string())], names=schema.names)
+
+    return placed.mapInArrow(run, schema)
 
 
 def _kinds(*items: tuple[str, Column, Column]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions import quality as q
 from framesift.operators.ranks import rank_within
+from framesift.operators.rasters import binary, stacks, views
 from framesift.operators.store import materialize
 
 LAPLACIAN = [[0, 1, 0], [1, -4, 1], [0, 1, 0]]
@@ -16,61 +17,113 @@ SOBEL_X = [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]
 SOBEL_Y = [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]
 
 
-def _correlate(image: np.ndarray, weights: list[list[int]]) -> np.ndarray:
-    wide = np.pad(image, 1, "reflect") if min(image.shape) > 1 else np.pad(image, 1, "edge")
-    h, w = image.shape
-    return sum(weights[i][j] * wide[i : i + h, j : j + w] for i in range(3) for j in range(3) if weights[i][j])
+def _correlate(images: np.ndarray, weights: list[list[int]]) -> np.ndarray:
+    """Of a stack of images, with mirrored borders."""
+    h, w = images.shape[1:]
+    wide = np.pad(images, ((0, 0), (1, 1), (1, 1)), "reflect" if min(h, w) > 1 else "edge")
+    return sum(weights[i][j] * wide[:, i : i + h, j : j + w] for i in range(3) for j in range(3) if weights[i][j])
 
 
-def figures(image: np.ndarray) -> tuple[float, float, float, float]:
-    """Variance of the Laplacian, variance of the Sobel magnitude, mean and standard deviation of a gray image."""
-    image = image.astype(np.float64)
-    sobel = np.sqrt(_correlate(image, SOBEL_X) ** 2 + _correlate(image, SOBEL_Y) ** 2)
-    return float(_correlate(image, LAPLACIAN).var()), float(sobel.var()), float(image.mean()), float(image.std())
+def responses(images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Laplacian and Sobel magnitude of a stack of gray images."""
+    images = images.astype(np.float64)
+    return _correlate(images, LAPLACIAN), np.sqrt(_correlate(images, SOBEL_X) ** 2 + _correlate(images, SOBEL_Y) ** 2)
+
+
+def figures(images: np.ndarray) -> np.ndarray:
+    """Variance of the Laplacian, variance of the Sobel magnitude, mean and standard deviation of each image of a stack, a row each."""
+    lap, sobel = responses(images)
+    over = (1, 2)
+    return np.stack([lap.var(over), sobel.var(over), images.mean(over), images.std(over)], 1)
 
 
 FIGURES = ("laplacian", "sobel", "brightness", "contrast")
 
 
 def raster_quality(rasters: DataFrame) -> DataFrame:
-    """The columns of rasters (px array<int> row by row, width, height) without px, and the four figures, by Arrow batches."""
+    """The columns of rasters (px bytes row by row, width, height) without px, and the four figures; null for a null raster or one of another size than it says."""
+    rasters = binary(rasters)
     kept = [f for f in rasters.schema.fields if f.name != "px"]
     names = [f.name for f in kept]
 
     def run(batches):
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("px", "width", "height")))
-            out = [figures(np.array(px).reshape(h, w)) for px, w, h in rows]
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array([r[i] for r in out], pa.float64()) for i in range(4)], [*names, *FIGURES])
+            out, images = np.full((b.num_rows, 4), np.nan), views(b)
+            for places, stack in stacks(images):
+                out[places] = figures(stack)
+            lost = np.array([image is None for image in images], bool)
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(out[:, i], pa.float64(), mask=lost) for i in range(4)], [*names, *FIGURES])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", " + ", ".join(f"{n} double" for n in FIGURES)
     return rasters.mapInArrow(run, schema)
 
 
 def raster_quality_columns(px: Column, width: int, height: int) -> dict[str, Column]:
-    """The four figures of a small raster of fixed size as expressions, without Python."""
+    """The four figures of a small raster of fixed size (an array of numbers) as expressions, without Python."""
     values = F.transform(px, lambda p: p.cast("double"))
     lap = q.stencil(px, width, height, LAPLACIAN)
     sobel = F.zip_with(q.stencil(px, width, height, SOBEL_X), q.stencil(px, width, height, SOBEL_Y), lambda a, b: F.sqrt(a * a + b * b))
     return {"laplacian": q.variance(lap), "sobel": q.variance(sobel), "brightness": q.mean(values), "contrast": F.sqrt(q.variance(values))}
 
 
+class BoxFigures:
+    """The four figures of any box of one raster, from summed-area tables that one pass over the raster makes.
+
+    Inside a box, but for its outermost pixels, filters read the raster itself; these come from the tables, whatever the box's size. The outermost
+    pixels see the box's mirrored border and are filtered anew.
+    """
+
+    def __init__(self, image: np.ndarray):
+        self.image = image
+        lap, sobel = responses(image[None])
+        pixels = image.astype(np.float64)
+        self.sums = [np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0))) for x in (lap[0], lap[0] ** 2, sobel[0], sobel[0] ** 2, pixels, pixels**2)]
+
+    def _sum(self, k: int, x1: int, y1: int, x2: int, y2: int) -> float:
+        s = self.sums[k]
+        return s[y2, x2] - s[y1, x2] - s[y2, x1] + s[y1, x1]
+
+    def __call__(self, x1: int, y1: int, x2: int, y2: int) -> tuple[float, ...]:
+        w, h = x2 - x1, y2 - y1
+        box = self.image[y1:y2, x1:x2]
+        if min(w, h) < 3:
+            return tuple(figures(box[None])[0].tolist())
+        ring = [[], []]
+        for strip, cut in ((box[:2], np.s_[0, 0]), (box[-2:], np.s_[0, 1]), (box[:, :2], np.s_[0, 1:-1, 0]), (box[:, -2:], np.s_[0, 1:-1, 1])):
+            for side, found in zip(ring, responses(strip[None])):
+                side.append(found[cut])
+        out, n = [], w * h
+        for k, edge in ((0, np.concatenate(ring[0])), (2, np.concatenate(ring[1]))):
+            total = self._sum(k, x1 + 1, y1 + 1, x2 - 1, y2 - 1) + edge.sum()
+            squares = self._sum(k + 1, x1 + 1, y1 + 1, x2 - 1, y2 - 1) + (edge**2).sum()
+            out.append(max(0.0, squares / n - (total / n) ** 2))
+        mean = self._sum(4, x1, y1, x2, y2) / n
+        return (*map(float, out), float(mean), float(max(0.0, self._sum(5, x1, y1, x2, y2) / n - mean**2) ** 0.5))
+
+
 def raster_bbox_quality(rasters: DataFrame, boxes: DataFrame, key: str) -> DataFrame:
-    """The figures of each box (clamped to its raster), one row a box; empty boxes give nulls. Rasters travel once a key."""
+    """The figures of each box (clamped to its raster), one row a box; empty boxes and lost rasters give nulls. Rasters travel once a key.
+
+    A raster of one box, or with boxes that are small together, is filtered box by box; else BoxFigures filters it once.
+    """
     each = boxes.groupBy(key).agg(F.collect_list(F.struct("box_id", "x1", "y1", "x2", "y2")).alias("boxes"))
-    rows = rasters.join(each, key).select(key, "px", "width", "height", "boxes")
+    rows = binary(rasters).join(each, key).select(key, "px", "width", "height", "boxes")
     kind = rasters.schema[key].dataType.simpleString()
 
     def run(batches):
         for b in batches:
-            out = []
-            for k, px, w, h, found in zip(*(b.column(c).to_pylist() for c in (key, "px", "width", "height", "boxes"))):
-                image = np.array(px).reshape(h, w)
-                for x in found:
-                    x1, y1, x2, y2 = max(0, x["x1"]), max(0, x["y1"]), min(w, x["x2"]), min(h, x["y2"])
-                    out.append((k, x["box_id"], *(figures(image[y1:y2, x1:x2]) if x2 > x1 and y2 > y1 else (None,) * 4)))
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(key).type), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]], [key, "box_id", *FIGURES])
+            keys, ids, out = [], [], []
+            for k, image, found in zip(b.column(key).to_pylist(), views(b), b.column("boxes").to_pylist()):
+                h, w = (0, 0) if image is None else image.shape
+                clamped = [(max(0, x["x1"]), max(0, x["y1"]), min(w, x["x2"]), min(h, x["y2"])) for x in found]
+                area = sum(max(0, x2 - x1) * max(0, y2 - y1) for x1, y1, x2, y2 in clamped)
+                one = BoxFigures(image) if area > h * w else lambda x1, y1, x2, y2: tuple(figures(image[None, y1:y2, x1:x2])[0].tolist())  # noqa: B023
+                for x, (x1, y1, x2, y2) in zip(found, clamped):
+                    keys.append(k)
+                    ids.append(x["box_id"])
+                    out.append(one(x1, y1, x2, y2) if x2 > x1 and y2 > y1 else (None,) * 4)
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(key).type), pa.array(ids, pa.int64()), *[pa.array(c, pa.float64()) for c in cols]], [key, "box_id", *FIGURES])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, box_id long, " + ", ".join(f"{n} double" for n in FIGURES))
 

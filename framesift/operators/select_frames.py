@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from framesift.functions.angles import DIRECTIONS, clamp
 from framesift.operators.ranks import rank_within
-from framesift.operators.select_core import diverse_topk, pick_for
+from framesift.operators.select_core import OUTCOMES, diverse_topk, near, ordered, split, together
 from framesift.operators.store import materialize
 
 #: The pose categories of frame selection.
 POSES = ("standing", "sitting", "squatting", "closeup")
+LOST = "lost_to_higher_priority"
 FRAME = ["video_id", "frame_id"]
 KEYS = ["video_id", "category"]
 
@@ -65,27 +66,84 @@ def category_order(groups: DataFrame, fixed: tuple[str, ...] | None = None) -> D
     return first.select(*KEYS, F.row_number().over(Window.partitionBy("video_id").orderBy("first")).alias("place"))
 
 
-def claim(rows: DataFrame, k: Column | int, gap: float, order: DataFrame | None = None) -> DataFrame:
-    """Pose categories one after the other: what an earlier one selected is `lost_to_higher_priority` in the later ones.
+def claim(rows: DataFrame, k: Column | int, gap: float, order: DataFrame | None = None, fold_rows: int = 100_000) -> DataFrame:
+    """Pose categories one after the other: what an earlier one selected is `lost_to_higher_priority` in the later ones. Adds place, outcome, pick.
 
-    At most as many passes as there are pose categories. Adds place, outcome, pick.
+    order: (video_id, category, place); without it a category's place is when its first frame came. Rows of a category without a place are left out. A null video is a video.
+    Videos of up to `fold_rows` rows are folded in one array each, all categories in turn, after one shuffle by video, and leave no table behind; larger
+    ones take a pass a category. The rows are the same.
     """
-    rows = materialize(rows, "claim-rows") if order is None else rows
-    placed = materialize(rows.join(order if order is not None else category_order(rows), KEYS), "claim")
-    select = pick_for(placed, KEYS)
+    k = k if isinstance(k, Column) else F.lit(k)
+    kept = rows.columns
+    if order is not None:
+        places = order.select(together(KEYS).alias("_g"), "place")
+        placed = rows.withColumn("_g", together(KEYS)).join(places, "_g").drop("_g").select(*kept, "place")
+    else:
+        placed = rows
+    large = rows.groupBy("video_id").count().where(F.col("count") > fold_rows)
+    if large.isEmpty():
+        return _claim_fold(placed, kept, k, gap)
+    small, big = split(placed, ["video_id"], large)
+    return _claim_fold(small, kept, k, gap).unionByName(_claim_passes(big, kept, k, gap))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds the place of each row's category by first frame; once rows lie by video, no shuffle."""
+    names = F.create_map(*[x for i, c in enumerate(POSES) for x in (F.lit(c), F.lit(i))])
+    first = F.min(F.struct("frame_seq", F.try_element_at(names, "category").alias("p"))).over(Window.partitionBy("video_id", "category"))
+    return rows.withColumn("_first", first).withColumn("place", F.dense_rank().over(Window.partitionBy("video_id").orderBy("_first", "category"))).drop("_first")
+
+
+def _claim_fold(rows: DataFrame, kept: list[str], k: Column, gap: float) -> DataFrame:
+    if "place" not in rows.columns:
+        rows = _placed(rows.repartition("video_id"))
+    rest = [c for c in kept if c != "video_id"]
+    r = F.struct("place", ordered("score", "frame_seq").alias("o"), F.col("t_sec").cast("double").alias("t"), F.col("frame_id").alias("f"), F.coalesce(k.cast("int"), F.lit(0)).alias("k"), F.struct(*rest).alias("row"))
+    packed = rows.select("video_id", r.alias("r")).groupBy("video_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    kind = f"array<struct<at:int,place:{rows.schema['place'].dataType.simpleString()},t:double,f:{rows.schema['frame_id'].dataType.simpleString()}>>"
+    state = F.struct(F.lit(0).alias("i"), F.array().cast(kind).alias("picks"))
+    times = lambda picks: F.transform(picks, lambda p: p["t"])
+    lost = lambda picks, r: F.coalesce(F.exists(picks, lambda p: (p["place"] < r["place"]) & p["f"].eqNullSafe(r["f"])), F.lit(False))
+    mine = lambda picks, r: F.filter(picks, lambda p: p["place"] == r["place"])
+
+    def step(acc, r):
+        own = mine(acc["picks"], r)
+        free = (F.size(own) < r["k"]) & ~lost(acc["picks"], r) & ~near(r["t"], times(own), gap)
+        pick = F.struct(acc["i"].alias("at"), r["place"].alias("place"), r["t"].alias("t"), r["f"].alias("f"))
+        return F.struct((acc["i"] + 1).alias("i"), F.when(free, F.concat(acc["picks"], F.array(pick))).otherwise(acc["picks"]).alias("picks"))
+
+    marked = packed.withColumn("picks", F.aggregate("rs", state, step)["picks"])
+    out = marked.select("video_id", "picks", F.posexplode("rs").alias("at", "r"))
+    own = mine(F.col("picks"), F.col("r"))
+    place = F.array_position(F.transform(own, lambda p: p["at"]), F.col("at")).cast("int")
+    before = F.filter(own, lambda p: p["at"] < F.col("at"))
+    barred = (F.size(before) < F.col("r.k")) & near(F.col("r.t"), times(before), gap)
+    outcome = F.when(place > 0, OUTCOMES[0]).when(lost(F.col("picks"), F.col("r")), LOST).when(barred, OUTCOMES[1]).otherwise(OUTCOMES[2])
+    return out.select("video_id", "r.row.*", "r.place", outcome.alias("outcome"), F.when(place > 0, place).alias("pick")).select(*kept, "place", "outcome", "pick")
+
+
+def _claim_passes(rows: DataFrame, kept: list[str], k: Column, gap: float) -> DataFrame:
+    """At most as many passes as there are categories."""
+    placed = rows
+    if "place" not in rows.columns:
+        names = F.create_map(*[x for i, c in enumerate(POSES) for x in (F.lit(c), F.lit(i))])
+        first = rows.groupBy(*KEYS).agg(F.min(F.struct("frame_seq", F.try_element_at(names, "category").alias("p"))).alias("first"))
+        order = first.select(together(KEYS).alias("_g"), F.dense_rank().over(Window.partitionBy("video_id").orderBy("first", "category")).alias("place"))  # a row a category
+        placed = rows.withColumn("_g", together(KEYS)).join(order, "_g").drop("_g")
+    placed = materialize(placed, "claim")
     done, taken = None, None
-    for place in range(1, len(POSES) + 1):
-        mine = placed.where(F.col("place") == place)
-        free = mine if taken is None else mine.join(taken, FRAME, "left_anti")
-        picked = select(free, KEYS, "score", "t_sec", "frame_seq", k if isinstance(k, Column) else F.lit(k), gap)
+    for place in range(1, (placed.agg(F.max("place")).first()[0] or 0) + 1):
+        mine = placed.where(F.col("place") == place).withColumn("_f", together(FRAME))
+        free = mine if taken is None else mine.join(taken, "_f", "left_anti")
+        picked = diverse_topk(free.drop("_f"), KEYS, "score", "t_sec", "frame_seq", k, gap)
         if taken is not None:
-            lost = mine.join(taken, FRAME, "left_semi").withColumn("outcome", F.lit("lost_to_higher_priority")).withColumn("pick", F.lit(None).cast("int"))
+            lost = mine.join(taken, "_f", "left_semi").drop("_f").withColumn("outcome", F.lit(LOST)).withColumn("pick", F.lit(None).cast("int"))
             picked = picked.unionByName(lost)
         picked = materialize(picked, "claim")
-        mine_taken = picked.where("outcome = 'selected'").select(*FRAME).distinct()
+        mine_taken = picked.where("outcome = 'selected'").select(together(FRAME).alias("_f")).distinct()
         taken = mine_taken if taken is None else taken.unionByName(mine_taken)
         done = picked if done is None else done.unionByName(picked)
-    return done
+    return (placed.withColumn("outcome", F.lit(LOST)).withColumn("pick", F.lit(None).cast("int")) if done is None else done).select(*kept, "place", "outcome", "pick")
 
 
 def first_reason(audit: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,17 +22,53 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="framesift-"))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def delete_path(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Folders written inside each open `scratch` block, innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """The tables that operators write inside the block are deleted at its end. Write or collect what is wanted of their results before.
+
+        with scratch(spark):
+            select_frames(...)[0].write.parquet(target)
+
+    Blocks may be nested. One thread at a time may have open blocks. Without a block the tables stay until their folder is cleared.
+    """
+    mine: list[str] = []
+    _open.append(mine)
+    try:
+        yield
+    finally:
+        _open.remove(mine)
+        for folder in mine:
+            delete_path(spark, folder)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, which an open `scratch` block deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write and read again: cuts lineage, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(table: DataFrame) -> None:
-    """Delete a table that `materialize` wrote and nothing refers to any more."""
-    spark = table.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        if shared_dir(spark).split(":", 1)[-1].lstrip("/") in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote and nothing refers to any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if shared_dir(spark).split(":", 1)[-1].lstrip("/") in folder:
+                delete_path(spark, folder)

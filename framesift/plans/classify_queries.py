@@ -98,14 +98,14 @@ add(
 def _closeups(d, k):
     """Faces with landmarks for even frames; the body with the same index has the keypoints of a vector."""
     faces = landmarks(grown(d)).withColumn("landmarks", F.when(F.col("frame_id") % 2 == 0, F.col("landmarks")))
-    bodies = d.where("kind = 'body'").withColumn("vec_id", (F.col("frame_id") + F.col("idx")) % 500).join(as_map(k.withColumn("x", F.col("x") + F.when((F.col("vec_id") % 5 == 0) & F.col("kp").isin("left_shoulder"), 600).otherwise(0))).select("vec_id", "keypoints"), "vec_id")
+    bodies = d.where("kind = 'body'").withColumn("vec_id", (F.col("frame_id") + F.col("idx")) % max(1, k.select("vec_id").distinct().count())).join(as_map(k.withColumn("x", F.col("x") + F.when((F.col("vec_id") % 5 == 0) & F.col("kp").isin("left_shoulder"), 600).otherwise(0))).select("vec_id", "keypoints"), "vec_id")
     return closeups.detect(faces, bodies, ["video_id", "frame_id", "idx"])
 
 
 add(
     "closeup_detect", f"{DET} {K}", _closeups,
     f"""with {GROWN}, s as (select vec_id, abs(max(case when kp = 'right_shoulder' and conf >= 5e-1 then x end) - max(case when kp = 'left_shoulder' and conf >= 5e-1 then x + case when vec_id % 5 = 0 then 600 else 0 end end)) / 1920 as sr from v_keypoints group by 1),
-    b as (select video_id, frame_id, idx, sr from v_detections d join s on s.vec_id = (d.frame_id + d.idx) % 500 where kind = 'body'),
+    b as (select video_id, frame_id, idx, sr from v_detections d cross join (select count(distinct vec_id) as n from v_keypoints) c join s on s.vec_id = (d.frame_id + d.idx) % c.n where kind = 'body'),
     f as (select g.*, {RATIO} as r, case when frame_id % 2 = 0 then (x2 - x1) * 4e-1 end as iod, sr from g left join b using (video_id, frame_id, idx)),
     t as (select *, {SHOT.format(r="r")} as base, greatest(3e-1, list_avg([x for x in [conf, least(1e0, r / 8e-2), least(1e0, iod / 5e1)] if x is not null and (iod is not null or true)])) as c from f),
     c as (select *, coalesce(sr >= 35e-2, false) and base in ('medium_shot', 'wide_shot') as up from t)

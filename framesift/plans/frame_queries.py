@@ -81,7 +81,7 @@ def _topk(how):
 
 
 add("select_diverse_topk", V, _topk(lambda v: select_core.diverse_topk(v, ["video_id"], "score", "t_sec", "frame_seq", K, GAP)), GREEDY)
-add("select_diverse_topk_rounds", V, _topk(lambda v: select_core.rounds(v, ["video_id"], "score", "t_sec", "frame_seq", F.lit(K), GAP, K)), GREEDY)
+add("select_diverse_topk_rounds", V, _topk(lambda v: select_core.rounds(v, ["video_id"], "score", "t_sec", "frame_seq", F.lit(K), GAP)), GREEDY)
 
 
 def claimed(v):
@@ -125,9 +125,9 @@ add(
     max_by(kind || '_' || category, place) as primary_category, round(max_by(score, place), 6) as final_score, cast(coalesce(min_by(pick, place) filter (kind = 'pose'), max_by(pick, place)) as bigint) as selection_rank from se group by all""",
 )
 add(
-    "category_summary", V, lambda v: select_frames.category_summary(claimed(v), "pose").withColumn("avg_quality", F.col("avg_quality") + 1e-9),  # so that no mean lies between two roundings
+    "category_summary", V, lambda v: select_frames.category_summary(claimed(v), "pose").withColumn("sum_quality", F.col("avg_quality") * F.col("candidates")).drop("avg_quality"),
     f"""with {CLAIM}, s as (select video_id, category, count(*) as candidates, count(*) filter (outcome = 'selected') as selected, min(quality) as lo, max(quality) as hi, avg(quality) as mean from cl group by all)
-    select video_id, category, candidates, selected, round(lo, 6) as min_quality, round(hi, 6) as max_quality, round(mean + 1e-9, 6) as avg_quality,
+    select video_id, category, candidates, selected, round(lo, 6) as min_quality, round(hi, 6) as max_quality, round(mean * candidates, 6) as sum_quality,
     'Selected ' || selected || ' of ' || candidates || ' candidate frames for pose category ''' || category || '''.' || case when selected > 0 then ' Quality range: ' || format('{{:.2f}}', lo) || ' - ' || format('{{:.2f}}', hi) || ' (average: ' || format('{{:.2f}}', mean) || '). Selection prioritized overall frame and pose quality.' || case when selected < candidates then ' Diversity filtering applied to avoid similar frames.' else '' end else '' end as rationale from s""".replace("{{", "{").replace("}}", "}"),
 )
 add(

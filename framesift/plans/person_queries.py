@@ -39,13 +39,13 @@ add("assign_person_ids", DET, lambda d: people(d).select("video_id", "frame_id",
 
 
 def _heads(d, h):
-    """A head pose for each face, of vector (frame + 3 * index) mod 500."""
-    faces = d.where("kind = 'face'").withColumn("vec_id", (F.col("frame_id") + 3 * F.col("idx")) % 500)
+    """A head pose for each face, of vector (frame + 3 * index) modulo the number of vectors."""
+    faces = d.where("kind = 'face'").withColumn("vec_id", (F.col("frame_id") + 3 * F.col("idx")) % max(1, h.count()))
     return faces.join(h.drop("conf", "label"), "vec_id").select("video_id", "frame_id", "idx", "yaw", "pitch", "roll", head_direction(F.col("yaw"), F.col("pitch")).alias("direction"))
 
 
 def _attach_sql(on: str) -> str:
-    return f"""with {PERSONS}, h as (select video_id, frame_id, idx, yaw, {DIRECTION_SQL} as direction from v_detections d join v_headpose v on v.vec_id = (d.frame_id + 3 * d.idx) % 500 where kind = 'face')
+    return f"""with {PERSONS}, h as (select video_id, frame_id, idx, yaw, {DIRECTION_SQL} as direction from v_detections d cross join (select count(*) as n from v_headpose) c join v_headpose v on v.vec_id = (d.frame_id + 3 * d.idx) % c.n where kind = 'face')
     select w.video_id, w.frame_id, cast(person_id as bigint) as person_id, round(yaw, 6) as yaw, direction from w left join h on h.video_id = w.video_id and h.frame_id = w.frame_id and {on}"""
 
 

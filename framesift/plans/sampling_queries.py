@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framesift.functions import geometry, poses
-from framesift.operators import sampling, validate
+from framesift.operators import rasters, sampling, validate
 from framesift.plans.registry import add
 from framesift.plans.shared import as_map, landmarks, landmarks_sql
 
@@ -26,7 +26,29 @@ add(
     lambda p, v: sampling.without_existing(merged(p, v), p.where("pict_type = 'B'").join(v, "video_id").select("video_id", (F.col("pts") * F.col("fps")).cast("int").alias("frame_number"))),
     f"with {MERGED}, e as (select video_id, cast(trunc(pts * fps) as bigint) as frame_number from v_probe join v_videos using (video_id) where pict_type = 'B') select * from m where not exists (select 1 from e where e.video_id = m.video_id and e.frame_number = m.frame_number)",
 )
-add("fingerprint_dedup", "documents", lambda d: sampling.first_per_fingerprint(d, "lang", "doc_id", F.md5("text")), "select lang, md5(text) as fingerprint, min(doc_id) as doc_id, count(*) as copies from documents group by all")
+
+
+def _frames(r):
+    """Frames of different sizes: each raster, a later copy of it, and one stretched to twice its width."""
+    px = rasters.as_bytes(F.col("px"))
+    wide = rasters.as_bytes(F.flatten(F.transform("px", lambda p: F.array(p, p))))
+    each = r.select(F.col("label").alias("video_id"), F.col("vec_id").alias("frame_seq"), px.alias("px"), "width", "height")
+    stretched = r.select(F.col("label").alias("video_id"), (F.col("vec_id") + 200000).alias("frame_seq"), wide.alias("px"), (F.col("width") * 2).alias("width"), "height")
+    return each.unionByName(each.withColumn("frame_seq", F.col("frame_seq") + 100000)).unionByName(stretched)
+
+
+#: Rows and columns of the 8x8 raster that a pixel of the 16x16 frame lies between, and its share of the second, in quarters.
+_LOW, _HIGH, _SHARE = "greatest(0, ({0} + 1) // 2 - 1)", "least(7, ({0} + 1) // 2)", "case when {0} % 2 = 0 then 3 else 1 end"
+_ROWS = [x.format("(i // 16)") for x in (_LOW, _HIGH, _SHARE)]
+_COLS = [f"case when w = 16 then {stretched} else {x.format('(i % 16)')} end" for x, stretched in ((_LOW, "(i % 16) // 2"), (_HIGH, "(i % 16) // 2"), (_SHARE, "0"))]
+_ROW = lambda y: f"((4 - ({_COLS[2]})) * px[8 * ({y}) + ({_COLS[0]}) + 1] + ({_COLS[2]}) * px[8 * ({y}) + ({_COLS[1]}) + 1])"
+add(
+    "fingerprint_dedup", "v_raster", lambda r: rasters.distinct_frames(_frames(r), "video_id", "frame_seq"),
+    f"""with f as (select label, vec_id as s, px, 8 as w from v_raster union all select label, vec_id + 100000, px, 8 from v_raster union all select label, vec_id + 200000, px, 16 from v_raster),
+    h as (select label, s, list_transform(range(0, 256), lambda i: ((4 - ({_ROWS[2]})) * {_ROW(_ROWS[0])} + ({_ROWS[2]}) * {_ROW(_ROWS[1])} + 8) // 16) as small from f)
+    select cast(label as bigint) as video_id, md5(unhex(array_to_string(list_transform(small, lambda v: printf('%02x', v)), ''))) as fingerprint, cast(min(s) as bigint) as frame_seq, count(*) as copies from h group by 1, 2""",
+)
+add("fingerprint_dedup_text", "documents", lambda d: sampling.first_per_fingerprint(d, "lang", "doc_id", F.md5("text")), "select lang, md5(text) as fingerprint, min(doc_id) as doc_id, count(*) as copies from documents group by all")
 add(
     "fingerprint_dedup_raster", "v_raster", lambda r: sampling.first_per_fingerprint(r, "label", "vec_id", sampling.raster_fingerprint(F.transform("px", lambda p: F.floor(p / 32)))),
     "select cast(label as bigint) as label, md5(array_to_string(list_transform(px[1:4], lambda p: cast(floor(p / 32) as bigint)), ',')) as fingerprint, min(vec_id) as vec_id, count(*) as copies from v_raster group by all",
@@ -80,15 +102,15 @@ add(
 
 
 def _with_heads(d, h):
-    """Each face takes the head pose of vector (frame + index) mod 500; every ninth has none."""
-    faces = d.where("kind = 'face'").withColumn("vec_id", (F.col("frame_id") + F.col("idx")) % 500)
+    """Each face takes the head pose of vector (frame + index) modulo the number of vectors; every ninth has none."""
+    faces = d.where("kind = 'face'").withColumn("vec_id", (F.col("frame_id") + F.col("idx")) % max(1, h.count()))
     heads = faces.join(h.select("vec_id", "yaw", "pitch", "roll"), "vec_id").where(F.col("frame_id") % 9 != 0).select("video_id", "frame_id", "idx", "yaw", "pitch", "roll")
     return faces, heads
 
 
 add(
     "filter_forward_facing", "v_detections v_headpose", lambda d, h: validate.forward_facing_faces(*_with_heads(d, h)).select("video_id", "frame_id", "idx"),
-    """select d.video_id, d.frame_id, cast(d.idx as bigint) as idx from v_detections d left join v_headpose h on h.vec_id = (d.frame_id + d.idx) % 500 and d.frame_id % 9 <> 0
+    """select d.video_id, d.frame_id, cast(d.idx as bigint) as idx from v_detections d cross join (select count(*) as n from v_headpose) c left join v_headpose h on h.vec_id = (d.frame_id + d.idx) % c.n and d.frame_id % 9 <> 0
     where kind = 'face' and least(width, x2 + 10) - greatest(0, x1 - 10) >= 30 and least(height, y2 + 10) - greatest(0, y1 - 10) >= 30 and coalesce(abs(yaw) <= 45 and abs(pitch) <= 30 and abs(roll) <= 30, true)""",
 )
 add(

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from framesift.functions import geometry, naming
-from framesift.operators import crops, jobs, select_persons
+from framesift.operators import crops, jobs, rasters, select_persons
 from framesift.plans.frame_queries import GAP, greedy_sql
 from framesift.plans.registry import add
 
@@ -69,8 +70,8 @@ WHOLE = f"""{COMBINED}, li as (select * from co qualify row_number() over (parti
 chosen = lambda v: select_persons.select_persons(rows(v), 3, 10, GAP, 20)
 add("select_persons", V, lambda v: chosen(v).select(*cols), f"with {WHOLE} select {OUT} from pi")
 add(
-    "person_selection_summary", V, lambda v: select_persons.summary(chosen(v)).withColumn("avg_score", F.col("avg_score") + 1e-9),
-    f"with {WHOLE} select video_id, cast(person_id as bigint) as person_id, count(*) as n, round(min(score), 6) as min_score, round(max(score), 6) as max_score, round(avg(score) + 1e-9, 6) as avg_score, array_to_string(list_sort(list_distinct(list(category))), ',') as categories from pi group by all",
+    "person_selection_summary", V, lambda v: select_persons.summary(chosen(v)).withColumn("sum_score", F.col("avg_score") * F.col("n")).drop("avg_score"),
+    f"with {WHOLE} select video_id, cast(person_id as bigint) as person_id, count(*) as n, round(min(score), 6) as min_score, round(max(score), 6) as max_score, round(sum(score), 6) as sum_score, array_to_string(list_sort(list_distinct(list(category))), ',') as categories from pi group by all",
 )
 
 DET = "v_detections"
@@ -109,7 +110,7 @@ add(
 
 def _cut(r):
     plan = r.select("vec_id", F.lit(0).cast("long").alias("box_id"), (F.col("vec_id") % 5 - 2).cast("int").alias("cx1"), F.lit(2).alias("cy1"), (F.col("vec_id") % 5 + 4).cast("int").alias("cx2"), F.lit(10).alias("cy2"))
-    return crops.crop_pixels(r, plan, "vec_id").select("vec_id", "width", "height", F.aggregate("px", F.lit(0), lambda a, x: a + x).alias("sum_px"), F.size(F.filter("alpha", lambda a: a > 0)).alias("inside"))
+    return crops.crop_pixels(r, plan, "vec_id").select("vec_id", "width", "height", F.aggregate(rasters.as_values(F.col("px")), F.lit(0), lambda a, x: a + x).alias("sum_px"), F.size(F.filter(rasters.as_values(F.col("alpha")), lambda a: a > 0)).alias("inside"))
 
 
 add(
@@ -131,6 +132,24 @@ add(
     "unique_filename", V, lambda v: crops.unique_names(named(v).select("video_id", "frame_id", "frame_seq", F.col("full_name").alias("name")), order="frame_seq").select("frame_id", "unique_name"),
     f"with {NAMED}, u as (select frame_id, full_name, row_number() over (partition by video_id, full_name order by frame_seq) - 1 as n from nn) select frame_id, case when n = 0 then full_name else replace(full_name, '.png', '_' || case when n < 1000 then lpad(cast(n as varchar), 3, '0') else cast(n as varchar) end || '.png') end as unique_name from u",
 )
+
+
+def numbered(v):
+    """Short names, a third of which are numbered already and come first."""
+    own = F.col("k") % 3 == 0
+    name = F.concat(F.lit("n"), (F.col("frame_id") % 4).cast("string"), F.when(own, F.concat(F.lit("_00"), (1 + F.col("k") % 7).cast("string"))).otherwise(""), F.lit(".png"))
+    return v.select("video_id", "frame_id", name.alias("name"), F.when(own, F.col("frame_seq")).otherwise(F.col("frame_seq") + 1000000).alias("seq"))
+
+
+add(
+    "unique_filename_taken", V, lambda v: crops.unique_names(numbered(v)).select("frame_id", "unique_name"),
+    """with n as (select video_id, frame_id, 'n' || (frame_id % 4) || case when k % 3 = 0 then '_00' || (1 + k % 7) else '' end as stem, case when k % 3 = 0 then frame_seq else frame_seq + 1000000 end as seq,
+        'n' || (frame_id % 4) as base, case when k % 3 = 0 then 1 + k % 7 end as number from v_candidates),
+    u as (select *, row_number() over (partition by video_id, stem order by seq) - 1 as use from n),
+    t as (select video_id, base as stem, list_distinct(list(number)) as taken from n where number is not null group by 1, 2),
+    f as (select u.*, list_filter(range(1, u.use + 8), lambda i: not list_contains(coalesce(taken, []), i))[u.use] as free from u left join t using (video_id, stem))
+    select frame_id, stem || case when use = 0 then '' when free < 1000 then '_' || lpad(cast(free as varchar), 3, '0') else '_' || free end || '.png' as unique_name from f""",
+)
 ODD = "case k % 5 when 0 then 'a/b' when 1 then '. v x ' when 2 then '...' when 3 then 'v' || video_id || '_person_x_1.png' else 'v' || video_id || '_person_3_1.png' end"
 add(
     "validate_filename", V, lambda v: v.withColumn("name", F.expr(ODD)).select("frame_id", naming.is_valid(F.col("name"), F.concat(F.lit("v"), F.col("video_id").cast("string"))).alias("valid"), naming.sanitized(F.col("name")).alias("clean")),
@@ -176,7 +195,7 @@ def _stub():
     def run(rasters):
         if any(px[0] >= 170 for px in rasters):
             raise ValueError("too bright")
-        return [[{"at": max(range(len(px)), key=px.__getitem__), "conf": max(px) / 255}] for px in rasters]
+        return [[{"at": int(np.argmax(px)), "conf": int(px.max()) / 255}] for px in rasters]
 
     return run
 

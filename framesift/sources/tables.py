@@ -52,13 +52,13 @@ def parse_frames(lines: DataFrame, column: str = "value") -> DataFrame:
     """Frames from JSON text, a frame a row. Broken text and frames without `selections` are left out; missing fields get defaults."""
     f = F.from_json(column, FRAME_JSON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     rows = lines.select(f.alias("f")).select("f.*").where("_corrupt_record is null and selections is not null").drop("_corrupt_record")
-    return _with_defaults(rows)
+    return with_defaults(rows)
 
 
 def read_frames(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
     """Frames from files of JSON documents, one a line (or one a file, or an array of them, if `whole`), as parse_frames."""
     rows = spark.read.schema(FRAME_JSON).option("mode", "PERMISSIVE").option("multiLine", whole).json(path)
-    return _with_defaults(rows.where("_corrupt_record is null and selections is not null").drop("_corrupt_record"))
+    return with_defaults(rows.where("_corrupt_record is null and selections is not null").drop("_corrupt_record"))
 
 
 def _filled(value: Column, kind: T.StructType, defaults: dict) -> Column:
@@ -81,7 +81,7 @@ def _element(kind: T.StructType, defaults: dict):
     return lambda e: _filled(e, kind, defaults)
 
 
-def _with_defaults(rows: DataFrame) -> DataFrame:
+def with_defaults(rows: DataFrame) -> DataFrame:
     new = {}
     for name, defaults in DEFAULTS.items():
         kind = rows.schema[name].dataType
@@ -158,10 +158,11 @@ def nest(frames: DataFrame, detections: DataFrame, head_poses: DataFrame | None
     return found.withColumn("persons", F.transform("_people", person)).drop("_people")
 
 
-def as_json(frames: DataFrame) -> DataFrame:
-    """A line of JSON a frame, with nulls. Confidences of classifications are numbers, as the documents have them."""
-    text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) if c == "frame_id" else c for c in frames.columns]), {"ignoreNullFields": "false"})
-    return frames.select("video_id", "frame_id", F.regexp_replace(text, r'\["([A-Za-z_]+)","([-+0-9.eE]+)"\]', r'["$1",$2]').alias("value"))
+def as_json(frames: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The columns `carry` (by default the keys) and a line of JSON a frame of all other columns, the default keys included, with nulls. Confidences of classifications are numbers, as the documents have them."""
+    fields = [c for c in frames.columns if c not in (carry or [])]
+    text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) if c == "frame_id" else c for c in fields]), {"ignoreNullFields": "false"})
+    return frames.select(*(carry or ["video_id", "frame_id"]), F.regexp_replace(text, r'\["([A-Za-z_]+)","([-+0-9.eE]+)"\]', r'["$1",$2]').alias("value"))
 
 
 def write_frames(frames: DataFrame, path: str) -> None:
