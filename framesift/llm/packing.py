@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 
 from framesift.llm.common import materialize
 
-#: White space of this length goes to `tokenizers`: the other library's pattern matcher runs out of stack on some longer ones.
-LONG_SPACE = re.compile(r"\s{50000}")
+#: White space of this length goes to `tokenizers`: the other library takes time with its square, and runs out of stack on some of 50,000.
+LONG, LONG_SPACE = 10_000, re.compile(r"\s{10000}")
+#: Most tasks that the tails are packed by.
+TASKS = 20_000
 #: Fixed value: the byte-level tokenizer's pattern of words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -59,7 +61,7 @@ class Encoder:
     def __call__(self, text: str | None, end: int = 0) -> np.ndarray:
         if not text:
             return np.array([end], "<u2")
-        plain = not any(s in text for s in self.special) and (len(text) < 50_000 or not LONG_SPACE.search(text))
+        plain = not any(s in text for s in self.special) and (len(text) < LONG or not LONG_SPACE.search(text))
         ids = array("H", self.encode(text) if plain else self.exact(text))
         ids.append(end)
         return np.frombuffer(ids, "<u2")
@@ -234,7 +236,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, window: int
             rare = [int(ids[np.lexsort((ids, -idf[ids]))[0]]) for ids in found]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rare, pa.int32())], ["doc_id", "doc_tokens", "tail", "rarest"])
 
-    tasks = max(1, -(-size["n"] // rows_per_task))
+    tasks = max(1, min(TASKS, -(-size["n"] // rows_per_task)))
     order = ["rarest", "doc_tokens", F.xxhash64("tail", "doc_id")]
     placed = tails.mapInArrow(keyed, f"doc_id {kind}, doc_tokens long, tail binary, rarest int").repartitionByRange(tasks, *order).sortWithinPartitions(*order, "doc_id")
     packed = placed.select("doc_id", "doc_tokens", "tail").mapInArrow(_packer(idf, size["mean"], window, shard_rows, terms, arrow), PIECE.format(id=kind))
