@@ -1,7 +1,8 @@
 """Language identification: nearest of several centroids per language, by cosine of hashed TF-IDF n-gram vectors.
 
 Inverse document frequencies come from all learning rows. Centroids are clustered (spherical k-means) from a
-bounded sample of them: about `sample_rows`, shared out among the languages by a hash of the id. A text is rejected
+bounded sample of them: about `sample_rows`, the same number for each language (`per_language` at least), by a hash of the id. At most `languages` values of
+lang are learned, the most frequent ones (ties: the first in order), so a dirty column cannot fill the driver. A text is rejected
 if its similarity to the nearest centroid is below what all but a small share of that language's sample reaches.
 
 Null texts and texts without a letter are `und` with score 0. Every other text gets the nearest learned language,
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 12
@@ -70,7 +71,7 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
-def train(docs: DataFrame, keep=None, sample_rows: int = 3000, per_language: int = 4, lost: float = 0.005) -> Centroids:
+def train(docs: DataFrame, keep=None, sample_rows: int = 3000, per_language: int = 4, lost: float = 0.005, languages: int = 1000) -> Centroids:
     """Fit on the rows of docs with a language that satisfy `keep`."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(F.lit(True) if keep is None else keep).select("doc_id", "text", "lang")
 
@@ -88,11 +89,15 @@ def train(docs: DataFrame, keep=None, sample_rows: int = 3000, per_language: int
     idf, n = np.zeros(1 << BITS, np.float32), int(sums["n"].max()) if len(sums) else 0
     if n:
         idf[sums["i"].to_numpy()] = np.log((1 + n) / (1 + sums["d"].to_numpy()))  # what every text has tells nothing
-    per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not n or not per:
         return Centroids(idf, [], np.zeros(0, int), np.zeros((0, 1 << BITS), np.float32), np.zeros(0))
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, sample_rows / len(per) / count))) for lang, count in per.items()])
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample_rows)
+    each = max(per_language, sample_rows // len(per))
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, 2 * each / count)) for lang, count in per.items()], "lang string, share double")  # `languages` rows at most
+    # twice what is wanted passes by its hash, so that few rows of a frequent language are sorted
+    rare = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text"))
+    sample = rare.withColumn("place", place).where(F.col("place") <= each)
 
     def vectors(batches):
         for b in batches:
@@ -103,11 +108,11 @@ def train(docs: DataFrame, keep=None, sample_rows: int = 3000, per_language: int
     x = _weighted(np.stack([np.frombuffer(v, np.float32) for v in got["v"]]), idf) if len(got) else np.zeros((0, 1 << BITS))
     x = x[order := np.lexsort(x.T[:8])] if len(x) else x
     lang = got["lang"].to_numpy()[order] if len(x) else np.array([])
-    languages = sorted(set(lang))
-    parts = [cluster(x[lang == each], per_language) for each in languages]
-    floor = np.array([np.quantile((x[lang == each] @ c.T).max(1), lost) for each, c in zip(languages, parts)])
+    known = sorted(set(lang))
+    parts = [cluster(x[lang == one], per_language) for one in known]
+    floor = np.array([np.quantile((x[lang == one] @ c.T).max(1), lost) for one, c in zip(known, parts)])
     owner = np.repeat(np.arange(len(parts)), [len(c) for c in parts]) if parts else np.zeros(0, int)
-    return Centroids(idf, languages, owner, np.vstack(parts).astype(np.float32) if parts else np.zeros((0, 1 << BITS), np.float32), floor)
+    return Centroids(idf, known, owner, np.vstack(parts).astype(np.float32) if parts else np.zeros((0, 1 << BITS), np.float32), floor)
 
 
 def identify(docs: DataFrame, model: Centroids) -> DataFrame:
