@@ -112,14 +112,15 @@ def labelled(labels: DataFrame, column: str, keep, most: int) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", keep=None, sample_rows: int = 20_000) -> Trees:
     """Fit on at most `sample_rows` labelled documents, of which only the statistics come to the driver."""
     wanted = F.broadcast(labelled(labels, column, keep, sample_rows))  # at most sample_rows short rows
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id")
+    # an id that documents repeat counts once, with its first text in order
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
     def run(batches):
         for b in batches:
             x = [statistics(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("y")], ["x", "y"])
 
-    found = rows.select("text", "y").mapInArrow(run, "x array<double>, y int").limit(2 * sample_rows).toPandas()
+    found = rows.select("text", "y").mapInArrow(run, "x array<double>, y int").toPandas()  # at most sample_rows
     x = np.array(found["x"].tolist(), float).reshape(-1, len(NAMES))
     order = np.lexsort([*x.T, found["y"].to_numpy()])  # the same trees in whatever order rows arrive
     return fit(x[order], found["y"].to_numpy(float)[order])

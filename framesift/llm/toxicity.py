@@ -128,7 +128,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, object], kee
     """categories: name -> condition on the columns of labels, in chain order. Fitted on at most `sample_rows` labelled documents; only their features come to the driver."""
     names = list(categories)
     wanted = F.broadcast(labelled_rows(labels, categories, keep, sample_rows))  # at most sample_rows short rows
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *names)
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id")
+    # an id that documents repeat counts once, with its first text in order
+    rows = rows.groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"), *[F.max(n).alias(n) for n in names])
     marked = materialize(rows, "toxicity-sample")
     kinds = marked.agg(*[F.count_if(n).alias(n) for n in names], F.count("*").alias("_rows")).first()
     if not any(0 < kinds[n] < kinds["_rows"] for n in names):
@@ -142,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, object], kee
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([np.packbits(r).tobytes() for r in x], pa.binary()), *b.columns[2:]], ["doc_id", "x", *b.schema.names[2:]])
 
     schema = "doc_id " + rows.schema["doc_id"].dataType.simpleString() + ", x binary, " + ", ".join(f"`{n}` boolean" for n in names)
-    got = marked.mapInArrow(run, schema).limit(2 * sample_rows).toArrow()
+    got = marked.mapInArrow(run, schema).toArrow()  # at most sample_rows
     got = got.sort_by([("doc_id", "ascending"), ("x", "ascending")])
     x = np.array([np.unpackbits(np.frombuffer(r, np.uint8), count=len(chosen)) for r in got.column("x").to_pylist()], float).reshape(got.num_rows, len(chosen))
     fold = np.array([zlib.crc32(f"fold {i}".encode()) % folds for i in got.column("doc_id").to_pylist()])
