@@ -4,7 +4,8 @@ An as-of join without a nested loop, over ids and validators only. Captures beco
 one time is one row. The points, in order of URL and time, are cut into spans of about `span_rows` points, so a URL with a
 third of all captures is many spans, however its times lie. In a (URL, span) a window finds the latest earlier response; what
 spans before hold is one row a (URL, span), carried forward by a second window over those rows only. Bodies are
-joined last, to the revisits that are resolved.
+joined last, to the revisits that are resolved and to no others. A response with more than one in HOT of these is one of few: it is copied SALTS times and its
+revisits are dealt to the copies.
 
 A revisit fits the response it refers to if their entity tags agree (weakly compared), or, where one of them lacks a tag, their
 modification dates. Outcomes: `response` (a full one itself), `resolved`, `mismatch` (a validator differs),
@@ -25,6 +26,8 @@ from framesift.llm.common import materialize
 
 #: Most spans that the points are cut into.
 SPANS = 20_000
+#: A response with more than one in HOT of all resolved revisits meets them in SALTS parts.
+HOT, SALTS = 1000, 32
 #: Headers that a not-modified answer cannot change, as they describe the body that was sent.
 BODY_HEADERS = ("content-length", "content-encoding", "content-range", "transfer-encoding", "trailer", "connection", "keep-alive", "set-cookie")
 
@@ -82,20 +85,24 @@ def resolve(records: DataFrame, span_rows: int = 200_000) -> DataFrame:
     dates = base["last_modified"].isNotNull() & F.col("last_modified").isNotNull()
     same = F.when(tags, _plain(base["etag"]) == _plain(F.col("etag"))).when(dates, base["last_modified"] == F.col("last_modified"))
     outcome = F.when(base.isNull(), "orphan").when(same.isNull(), "unverified").when(same, "resolved").otherwise("mismatch")
-    judged = revisits.withColumn("outcome", outcome)
+    judged = materialize(revisits.withColumn("outcome", outcome), "revisits-judged")
     key = [F.col("url_key").alias("b_url"), F.col("ts").alias("b_ts"), F.col("record_id").alias("b_id"), F.coalesce("etag", F.lit("")).alias("b_etag"), F.coalesce("last_modified", F.lit("")).alias("b_date")]
     text = F.to_json("headers")
     bodies = rows.where(sound & is_full).groupBy(*key).agg(F.max_by(F.struct("payload", "headers"), F.struct("payload", text)).alias("body"))
-    wanted = [F.when(F.col("outcome") == "resolved", c) for c in (F.col("url_key"), base["ts"], base["record_id"], F.coalesce(base["etag"], F.lit("")), F.coalesce(base["last_modified"], F.lit("")))]
-    fits = [w == F.col(c) for w, c in zip(wanted, ("b_url", "b_ts", "b_id", "b_etag", "b_date"))]
-    done = judged.join(bodies, fits, "left")
-    is_resolved = F.col("outcome") == "resolved"
-    again = done.select(
-        "record_id", "kind", "url_key", "outcome", F.when(is_resolved, base["record_id"]).alias("refers_to"), F.col("body.payload").alias("payload"),
-        F.when(is_resolved, merged(F.col("body.headers"), F.col("headers"))).otherwise(F.col("headers")).alias("headers"),
+    names = ["b_url", "b_ts", "b_id", "b_etag", "b_date"]
+    wanted = (F.col("url_key"), base["ts"], base["record_id"], F.coalesce(base["etag"], F.lit("")), F.coalesce(base["last_modified"], F.lit("")))
+    resolved = judged.where("outcome = 'resolved'").withColumns(dict(zip(names, wanted)))
+    counts = resolved.groupBy(*names).agg(F.count("*").alias("revisits"))
+    bound = max(SALTS, resolved.count() // HOT)
+    hot = F.broadcast(counts.where(F.col("revisits") > bound).select(*names, F.lit(True).alias("hot")))  # fewer than HOT rows
+    salted = resolved.join(hot, names, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("record_id", "ts", "etag"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    copies = bodies.join(hot, names, "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
+    again = salted.join(copies, [*names, "salt"]).select(
+        "record_id", "kind", "url_key", "outcome", base["record_id"].alias("refers_to"), F.col("body.payload").alias("payload"), merged(F.col("body.headers"), F.col("headers")).alias("headers"),
     )
+    alone = judged.where("outcome <> 'resolved'").select("record_id", "kind", "url_key", "outcome", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast(records.schema["payload"].dataType).alias("payload"), "headers")
     first = rows.where(is_full).select("record_id", "kind", "url_key", F.lit("response").alias("outcome"), F.lit(None).cast("long").alias("refers_to"), "payload", "headers")
-    return first.unionByName(again)
+    return first.unionByName(again).unionByName(alone)
 
 
 def captures(pages: DataFrame) -> DataFrame:
