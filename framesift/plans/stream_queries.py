@@ -48,9 +48,25 @@ def _ingest(spark, sf_dir):
 add("stream_ingest_detections", _ingest, "select event_id, user_id, event_type, round(value, 6) as value from events")
 
 
+def _documents(spark, sf_dir):
+    """Faces and poses of frame documents that came as a stream of lines, some of them broken."""
+    from framesift.plans.table_queries import lines
+    from framesift.sources import tables
+
+    source, target, checkpoint = _new(spark, "documents"), _new(spark, "frames"), _new(spark, "checkpoint")
+    lines(load(spark, sf_dir, "v_detections")).write.text(source)
+    for _ in range(2):  # the second run finds nothing new
+        streams.ingest_frames(spark, source, target, checkpoint).awaitTermination()
+    kind = lambda name, of: spark.read.parquet(f"{target}/{name}").select("video_id", F.col("frame_id").cast("long").alias("frame_id"), F.lit(of).alias("kind"), "idx", "x1", "y2", F.col("confidence").alias("conf"))
+    return kind("faces", "face").unionByName(kind("poses", "body"))
+
+
+add("stream_ingest_frames", _documents, "select video_id, frame_id, kind, cast(idx as bigint) as idx, cast(x1 as bigint) as x1, cast(y2 as bigint) as y2, round(conf, 6) as conf from v_detections where frame_id % 11 <> 0 and frame_id % 13 <> 0", "v_detections")
+
+
 def _dedup(spark, sf_dir):
     rows = events(spark, sf_dir).select(F.col("user_id").alias("video_id"), F.regexp_extract("props", "[0-9]+", 0).cast("long").alias("frame_id"), "ts")
-    return _written(spark, streams.dedup_frames(rows, delay="1 hour"), "dedup").select("video_id", "frame_id")
+    return _written(spark, streams.dedup_frames(rows), "dedup").select("video_id", "frame_id")
 
 
 add("stream_dedup_frames", _dedup, "select distinct user_id as video_id, cast(regexp_extract(props, '[0-9]+', 0) as bigint) as frame_id from events")
@@ -94,13 +110,15 @@ add(
 
 
 def _reselect(spark, sf_dir):
-    target = _new(spark, "reselected")
-    everything = lambda: load(spark, sf_dir, "v_candidates")
+    target, history, chosen_schema = _new(spark, "reselected"), _new(spark, "history"), "video_id long, frame_id long, pick int"
+    rows = load(spark, sf_dir, "v_candidates").withColumn("bucket", streams.bucket_of("video_id", 16))
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(history)
+    everything = spark.read.schema(rows.schema).parquet(history)
     scored = lambda v: v.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("quality") * 0.7 + F.col("conf") * 0.3)))
     chosen = lambda v: diverse_topk(scored(v), ["video_id"], "score", "t_sec", "frame_seq", 5, GAP).where("outcome = 'selected'").select("video_id", "frame_id", "pick")
     updates = events(spark, sf_dir).select(F.col("user_id").alias("video_id"))
-    streams.reselect(spark, updates, everything, chosen, target, _new(spark, "checkpoint")).awaitTermination()
-    return spark.read.schema("frame_id long, pick int, video_id long").parquet(target).select("video_id", "frame_id", "pick")
+    streams.reselect_buckets(spark, updates, everything, chosen, target, _new(spark, "checkpoint"), chosen_schema, 16).awaitTermination()
+    return streams.Selections(spark, target, chosen_schema).read()
 
 
 add("incremental_reselect", _reselect, f"with s as (select *, {SCORE} as score from v_candidates), {greedy_sql('s', 'video_id', 'score')} select video_id, frame_id, cast(pick as bigint) as pick from g where outcome = 'selected'", "v_candidates")
