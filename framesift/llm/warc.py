@@ -85,19 +85,20 @@ def resolve(records: DataFrame, span_rows: int = 200_000) -> DataFrame:
     dates = base["last_modified"].isNotNull() & F.col("last_modified").isNotNull()
     same = F.when(tags, _plain(base["etag"]) == _plain(F.col("etag"))).when(dates, base["last_modified"] == F.col("last_modified"))
     outcome = F.when(base.isNull(), "orphan").when(same.isNull(), "unverified").when(same, "resolved").otherwise("mismatch")
-    judged = materialize(revisits.withColumn("outcome", outcome), "revisits-judged")
-    key = [F.col("url_key").alias("b_url"), F.col("ts").alias("b_ts"), F.col("record_id").alias("b_id"), F.coalesce("etag", F.lit("")).alias("b_etag"), F.coalesce("last_modified", F.lit("")).alias("b_date")]
-    text = F.to_json("headers")
-    bodies = rows.where(sound & is_full).groupBy(*key).agg(F.max_by(F.struct("payload", "headers"), F.struct("payload", text)).alias("body"))
+    judged = materialize(revisits.withColumn("outcome", outcome), "revisits-judged", "zstd")
     names = ["b_url", "b_ts", "b_id", "b_etag", "b_date"]
-    wanted = (F.col("url_key"), base["ts"], base["record_id"], F.coalesce(base["etag"], F.lit("")), F.coalesce(base["last_modified"], F.lit("")))
-    resolved = judged.where("outcome = 'resolved'").withColumns(dict(zip(names, wanted)))
-    counts = resolved.groupBy(*names).agg(F.count("*").alias("revisits"))
+    of = lambda *columns: dict(zip(names, (columns[0], columns[1], columns[2], F.coalesce(columns[3], F.lit("")), F.coalesce(columns[4], F.lit("")))))
+    resolved = judged.where("outcome = 'resolved'").withColumns(of(F.col("url_key"), base["ts"], base["record_id"], base["etag"], base["last_modified"]))
+    keyed = rows.where(sound & is_full).withColumns(of(*map(F.col, ("url_key", "ts", "record_id", "etag", "last_modified"))))
     bound = max(SALTS, resolved.count() // HOT)
-    hot = F.broadcast(counts.where(F.col("revisits") > bound).select(*names, F.lit(True).alias("hot")))  # fewer than HOT rows
-    salted = resolved.join(hot, names, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("record_id", "ts", "etag"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
-    copies = bodies.join(hot, names, "left").withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-    again = salted.join(copies, [*names, "salt"]).select(
+    hot = materialize(resolved.groupBy(*names).count().where(F.col("count") > bound).select(*names), "revisits-hot")  # fewer than HOT rows
+    body = F.max_by(F.struct("payload", "headers"), F.struct("payload", F.to_json("headers"))).alias("body")
+    once = keyed.join(F.broadcast(hot), names, "left_anti").groupBy(*names).agg(body)
+    met = resolved.join(F.broadcast(hot), names, "left_anti").join(once, names)
+    copies = keyed.join(F.broadcast(hot), names, "left_semi").groupBy(*names).agg(body).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = resolved.join(F.broadcast(hot), names, "left_semi").withColumn("salt", F.pmod(F.xxhash64("record_id", "ts", "etag"), F.lit(SALTS)).cast("int"))
+    met = met.unionByName(salted.join(copies, [*names, "salt"]).drop("salt"))
+    again = met.select(
         "record_id", "kind", "url_key", "outcome", base["record_id"].alias("refers_to"), F.col("body.payload").alias("payload"), merged(F.col("body.headers"), F.col("headers")).alias("headers"),
     )
     alone = judged.where("outcome <> 'resolved'").select("record_id", "kind", "url_key", "outcome", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast(records.schema["payload"].dataType).alias("payload"), "headers")
