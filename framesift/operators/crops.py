@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,7 +74,7 @@ def crop_pixels(rasters: DataFrame, plan: DataFrame, key: str) -> DataFrame:
     return rows.mapInArrow(run, f"`{key}` {kind}, box_id long, px binary, alpha binary, width int, height int")
 
 
-def unique_names(rows: DataFrame, name: str = "name", key: str = "video_id", order: str = "seq") -> DataFrame:
+def unique_names(rows: DataFrame, name: str = "name", key: str = "video_id", order: str = "seq", whole: int = 1_000_000) -> DataFrame:
     """Adds unique_name, which no two rows of a video share, by falling precedence of `order` (unique in a video).
 
     The first use of a name keeps it. Later ones get _001, _002 and so on before the extension, counted by stem, whatever the extension; a number
@@ -91,15 +91,22 @@ def unique_names(rows: DataFrame, name: str = "name", key: str = "video_id", ord
     marked = rows.withColumns({"_root": root, "_stem": F.struct(F.col(key).alias("key"), stem.alias("stem")), "_name": F.struct(F.col(key).alias("key"), F.col(name).alias("name"))})
     again = marked.groupBy("_name").agg(F.first("_stem").alias("_stem"), F.count("*").alias("n")).where("n > 1").select("_stem").distinct()
     children = marked.where(parent.isNotNull()).select(F.struct(F.col(key).alias("key"), parent.alias("stem")).alias("_stem"), "_root")
-    meeting = materialize(children.join(again, "_stem", "left_semi").select("_root").distinct(), "meeting-names")
+    meeting = children.join(again, "_stem", "left_semi").select("_root").distinct()
     if meeting.isEmpty():
-        return _numbered(marked, name, order).select(*out)
-    plain = _numbered(marked.join(meeting, "_root", "left_anti"), name, order).select(*out)
+        return _numbered(marked, name, key, order, whole).select(*out)
+    meeting = materialize(meeting, "meeting-names")
+    plain = _numbered(marked.join(meeting, "_root", "left_anti"), name, key, order, whole).select(*out)
     return plain.unionByName(_streamed(marked.join(meeting, "_root", "left_semi"), rows.columns, name, order).select(*out))
 
 
-def _numbered(marked: DataFrame, name: str, order: str) -> DataFrame:
-    """The k-th later use of a stem gets the number k."""
+def _numbered(marked: DataFrame, name: str, key: str, order: str, whole: int = 1_000_000) -> DataFrame:
+    """The k-th later use of a stem gets the number k. Videos of up to `whole` rows are numbered by a task each, after one shuffle; the result does not depend on it."""
+    if marked.groupBy(key).count().where(F.col("count") > whole).isEmpty():
+        used = marked.repartition(key).withColumn("_use", F.row_number().over(Window.partitionBy(key, "_name").orderBy(order)))
+        is_later = (F.col("_use") > 1) & F.col(name).isNotNull()
+        place = F.sum(is_later.cast("int")).over(Window.partitionBy(key, "_stem").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        numbered = naming.with_suffix(F.col(name), F.concat(F.lit("_"), naming.rank_text(place)))
+        return used.withColumn("unique_name", F.when(is_later, numbered).otherwise(F.col(name))).drop("_use")
     used = rank_within(marked, ["_name"], [F.col(order)], "_use")
     later = rank_within(used.where(f"_use > 1 and `{name}` is not null"), ["_stem"], [F.col(order)], "_k")
     numbered = naming.with_suffix(F.col(name), F.concat(F.lit("_"), naming.rank_text(F.col("_k"))))

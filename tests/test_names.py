@@ -25,10 +25,10 @@ def plain(names):
     return out
 
 
-def check(spark, videos):
+def check(spark, videos, whole=1_000_000):
     rows = [(v, i, n) for v, names in videos.items() for i, n in enumerate(names)]
     df = spark.createDataFrame(rows, "video_id long, seq long, name string")
-    got = {(r["video_id"], r["seq"]): r["unique_name"] for r in crops.unique_names(df).collect()}
+    got = {(r["video_id"], r["seq"]): r["unique_name"] for r in crops.unique_names(df, whole=whole).collect()}
     assert len(got) == len(rows)
     for v, names in videos.items():
         mine = [got[v, i] for i in range(len(names))]
@@ -49,6 +49,10 @@ def test_random_names(spark):
     check(spark, {v: [rng.choice(pool) for _ in range(rng.randrange(1, 25))] for v in range(60)})
 
 
+def test_videos_larger_than_a_task(spark):
+    check(spark, {1: ["a.png", "a.png", "b.png", "a.jpg", "b.png", "a.jpg"], None: ["c", "c", "c"]}, whole=0)
+
+
 def test_null_names_stay(spark):
     df = spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, "a"), (1, 4, "a"), (1, 5, "a_001")], "video_id long, seq long, name string")
     assert {r["seq"]: r["unique_name"] for r in crops.unique_names(df).collect()} == {1: None, 2: None, 3: "a", 4: "a_001", 5: "a_001_001"}

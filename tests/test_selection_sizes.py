@@ -31,8 +31,8 @@ def made(seed, n, videos):
 
 
 def test_forms_agree_with_a_loop(spark):
-    for seed, k in ((1, 1), (2, 3), (3, 50), (4, 200), (5, 0)):
-        rows = made(seed, 400, [1, 2, None])
+    for seed, k in ((1, 3), (2, 200)):
+        rows = made(seed, 300, [1, 2, None])
         df = spark.createDataFrame(rows, "video_id long, category string, seq long, score double, t double")
         want = {}
         for key in {r[:2] for r in rows}:
