@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from framesift.llm.common import delete_path, discard, materialize, shared_dir
+from framesift.llm.common import discard, materialize
+from framesift.operators.store import delete_path, shared_dir
 
 
 def key_of(line: bytes, least: int) -> bytes | None:
@@ -114,10 +115,12 @@ def dropped_keys(docs: DataFrame, id_column: str, least: int, documents: int, ba
     batch = F.pmod(F.xxhash64(F.col(id_column), F.col("text")), F.lit(batches)).cast("int")
     lines = materialize(line_keys(docs, id_column, batch, least), "line-keys", "zstd")
     runs = LineRuns(spark, fan_in)
-    for k in range(batches):
-        runs.add(lines.where(F.col("batch") == k))
-    frequent = materialize(runs.counts().where(F.col("n") >= documents), "frequent-lines", "zstd")
-    runs.close()
+    try:
+        for k in range(batches):
+            runs.add(lines.where(F.col("batch") == k))
+        frequent = materialize(runs.counts().where(F.col("n") >= documents), "frequent-lines", "zstd")
+    finally:
+        runs.close()
     bound = max(1, lines.count() // hot)
     lower = F.col("keeper").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("keeper")))
     common = lines.join(F.broadcast(frequent.where(F.col("n") > bound)), "key")  # fewer than `hot` keys have so many lines
