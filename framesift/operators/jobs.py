@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
-def payloads(column: pa.Array) -> list[np.ndarray]:
-    """The values of an array without nulls, as views of its buffers: bytes of a binary column, numbers of an array column."""
+def payloads(column: pa.Array) -> list[memoryview] | list[np.ndarray]:
+    """The values of an array without nulls, as views of its buffers: memoryviews of a binary column, numpy arrays of an array column."""
     if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
         values = column.values.to_numpy(zero_copy_only=False)
     else:
@@ -21,16 +21,17 @@ def payloads(column: pa.Array) -> list[np.ndarray]:
         values = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
     wide = pa.types.is_large_list(column.type) or pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
     edges = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    values = values if pa.types.is_list(column.type) or pa.types.is_large_list(column.type) else memoryview(values)
     return [values[i:j] for i, j in zip(edges, edges[1:])]
 
 
 def apply_detector(
-    images: DataFrame, load: Callable[[], Callable[[list[np.ndarray]], list]], schema: str, key: str, payload: str, batch_size: int = 16, batch_bytes: int = 64 << 20, retries: int = 0
+    images: DataFrame, load: Callable[[], Callable[[list], list]], schema: str, key: str, payload: str, batch_size: int = 16, batch_bytes: int = 64 << 20, retries: int = 0
 ) -> DataFrame:
     """Runs a detector over image rows: key, found (array of `schema` structs) and error.
 
     load() gives the detector, once a task; it takes a list of payloads and returns a list of lists of dicts. Payloads are bytes or arrays of numbers,
-    which it gets as read-only numpy views of the Arrow buffers. A detector's batch has at most `batch_size` payloads and, but for a larger one alone, `batch_bytes`
+    which it gets as memoryviews or read-only numpy arrays over the Arrow buffers. A detector's batch has at most `batch_size` payloads and, but for a larger one alone, `batch_bytes`
     bytes, whatever Arrow batches they came in; results leave a detector's batch at a time. So besides the Arrow batch that is being read (which
     Spark bounds by spark.sql.execution.arrow.maxRecordsPerBatch and maxBytesPerBatch) and what is left of the one before, a task holds one detector's batch.
 

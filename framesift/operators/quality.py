@@ -30,8 +30,13 @@ def responses(images: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _correlate(images, LAPLACIAN), np.sqrt(_correlate(images, SOBEL_X) ** 2 + _correlate(images, SOBEL_Y) ** 2)
 
 
-def figures(images: np.ndarray) -> np.ndarray:
-    """Variance of the Laplacian, variance of the Sobel magnitude, mean and standard deviation of each image of a stack, a row each."""
+def figures(image: np.ndarray) -> tuple[float, float, float, float]:
+    """Variance of the Laplacian, variance of the Sobel magnitude, mean and standard deviation of a gray image."""
+    return tuple(stack_figures(image[None])[0].tolist())
+
+
+def stack_figures(images: np.ndarray) -> np.ndarray:
+    """The figures of each image of a stack, a row each."""
     lap, sobel = responses(images)
     over = (1, 2)
     return np.stack([lap.var(over), sobel.var(over), images.mean(over), images.std(over)], 1)
@@ -50,7 +55,7 @@ def raster_quality(rasters: DataFrame) -> DataFrame:
         for b in batches:
             out, images = np.full((b.num_rows, 4), np.nan), views(b)
             for places, stack in stacks(images):
-                out[places] = figures(stack)
+                out[places] = stack_figures(stack)
             lost = np.array([image is None for image in images], bool)
             yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [pa.array(out[:, i], pa.float64(), mask=lost) for i in range(4)], [*names, *FIGURES])
 
@@ -87,7 +92,7 @@ class BoxFigures:
         w, h = x2 - x1, y2 - y1
         box = self.image[y1:y2, x1:x2]
         if min(w, h) < 3:
-            return tuple(figures(box[None])[0].tolist())
+            return figures(box)
         ring = [[], []]
         for strip, cut in ((box[:2], np.s_[0, 0]), (box[-2:], np.s_[0, 1]), (box[:, :2], np.s_[0, 1:-1, 0]), (box[:, -2:], np.s_[0, 1:-1, 1])):
             for side, found in zip(ring, responses(strip[None])):
@@ -117,7 +122,7 @@ def raster_bbox_quality(rasters: DataFrame, boxes: DataFrame, key: str) -> DataF
                 h, w = (0, 0) if image is None else image.shape
                 clamped = [(max(0, x["x1"]), max(0, x["y1"]), min(w, x["x2"]), min(h, x["y2"])) for x in found]
                 area = sum(max(0, x2 - x1) * max(0, y2 - y1) for x1, y1, x2, y2 in clamped)
-                one = BoxFigures(image) if area > h * w else lambda x1, y1, x2, y2: tuple(figures(image[None, y1:y2, x1:x2])[0].tolist())  # noqa: B023
+                one = BoxFigures(image) if area > h * w else lambda x1, y1, x2, y2: figures(image[y1:y2, x1:x2])  # noqa: B023
                 for x, (x1, y1, x2, y2) in zip(found, clamped):
                     keys.append(k)
                     ids.append(x["box_id"])

@@ -66,13 +66,13 @@ def together(keys: list[str]) -> Column:
     return F.struct(*keys)
 
 
-def rounds(rows: DataFrame, keys: list[str], score: str, ts: str, seq: str, k: Column, gap: float, trace: list[int] | None = None) -> DataFrame:
+def rounds(rows: DataFrame, keys: list[str], score: str, ts: str, seq: str, k: Column, gap: float, most: int | None = None, trace: list[int] | None = None) -> DataFrame:
     """The same rows as `fold`, null keys and times included, by local dominance.
 
     Times are hashed to cells of one gap. In each pass a row that comes before all others of its own and the two next cells is picked, as nothing that
     could keep it out is left, and what is near to a pick goes. A group that has k picks drops all rows after its k-th, which can
     no longer be chosen. So passes follow the longest chain of rows that keep each other out, and are k at most, as each picks a group's best row.
-    A cell is reduced by a partial aggregate, and picks meet rows by (group, salt), so no group is ever gathered. `trace` gets the rows left after each pass.
+    A cell is reduced by a partial aggregate, and picks meet rows by (group, salt), so no group is ever gathered. `most` is an upper bound of k, if one is known; `trace` gets the rows left after each pass.
     """
     limit, least = F.coalesce(k.cast("int"), F.lit(0)), together(keys)
     t = F.col(ts).cast("double")
@@ -80,7 +80,8 @@ def rounds(rows: DataFrame, keys: list[str], score: str, ts: str, seq: str, k: C
     cell = F.when(F.lit(gap > 0) & (F.abs(t) < float("inf")) & ~F.isnan(t), F.floor(t / F.lit(gap * 1.000001 if gap > 0 else 1.0)))
     slim = rows.select(least.alias("g"), ordered(score, seq).alias("o"), t.alias("t"), limit.alias("k"), cell.alias("c")).where("k > 0")
     left = materialize(slim.withColumn("salt", F.pmod(F.xxhash64("o"), F.lit(SALTS))), "rounds-rows")
-    most = left.agg(F.max("k")).first()[0] or 0
+    largest = left.agg(F.max("k")).first()[0] or 0
+    most = largest if most is None else min(most, largest)
     # rows that are near to nothing are picks from the start
     picks = _first(left.where("c is null").select("g", "o", "t", "k"), most)
     left, held, done = left.where("c is not null"), None, []

@@ -60,7 +60,7 @@ def test_bytes_and_values(spark):
 def test_figures_of_mixed_sizes(spark, images):
     got = {r["seq"]: r for r in quality.raster_quality(frame_rows(spark, images)).collect()}
     for i, x in enumerate(images):
-        want = quality.figures(x[None])[0]
+        want = quality.figures(x)
         assert np.allclose([got[i][n] for n in quality.FIGURES], want)
     assert got[100]["laplacian"] is None and got[101]["contrast"] is None
 
@@ -72,7 +72,7 @@ def test_boxes_by_tables_and_alone(images):
     for _ in range(200):
         x1, y1 = int(r.integers(0, 190)), int(r.integers(0, 106))
         x2, y2 = int(r.integers(x1 + 1, 193)), int(r.integers(y1 + 1, 109))
-        assert np.allclose(by_table(x1, y1, x2, y2), quality.figures(image[None, y1:y2, x1:x2])[0], rtol=1e-9, atol=1e-6)
+        assert np.allclose(by_table(x1, y1, x2, y2), quality.figures(image[y1:y2, x1:x2]), rtol=1e-9, atol=1e-6)
     flat = quality.BoxFigures(np.full((20, 20), 200, np.uint8))(2, 2, 15, 15)
     assert np.allclose(flat, (0, 0, 200, 0), atol=1e-6)
 
