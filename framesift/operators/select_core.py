@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from framesift.operators.store import discard, materialize
 
-#: Parts of a group that meet its picks apart.
-SALTS = 64
+#: Parts in which a group of over HOT rows meets its picks; smaller ones meet them whole.
+SALTS, HOT = 64, 1_000_000
 OUTCOMES = ("selected", "rejected_insufficient_diversity", "not_top_ranked")
 
 
@@ -72,14 +72,18 @@ def rounds(rows: DataFrame, keys: list[str], score: str, ts: str, seq: str, k: C
     Times are hashed to cells of one gap. In each pass a row that comes before all others of its own and the two next cells is picked, as nothing that
     could keep it out is left, and what is near to a pick goes. A group that has k picks drops all rows after its k-th, which can
     no longer be chosen. So passes follow the longest chain of rows that keep each other out, and are k at most, as each picks a group's best row.
-    A cell is reduced by a partial aggregate, and picks meet rows by (group, salt), so no group is ever gathered. `most` is an upper bound of k, if one is known; `trace` gets the rows left after each pass.
+    A cell is reduced by a partial aggregate, and picks meet rows by (group, salt), so no group is ever gathered; only groups of over HOT rows have more than one salt, so picks
+    have about a copy a group, and they are merged, not broadcast. `most` is an upper bound of k, if one is known; `trace` gets the rows left after each pass.
     """
     limit, least = F.coalesce(k.cast("int"), F.lit(0)), together(keys)
     t = F.col(ts).cast("double")
     # a little wider than the gap, so that rounding puts no near pair two cells apart
     cell = F.when(F.lit(gap > 0) & (F.abs(t) < float("inf")) & ~F.isnan(t), F.floor(t / F.lit(gap * 1.000001 if gap > 0 else 1.0)))
     slim = rows.select(least.alias("g"), ordered(score, seq).alias("o"), t.alias("t"), limit.alias("k"), cell.alias("c")).where("k > 0")
-    left = materialize(slim.withColumn("salt", F.pmod(F.xxhash64("o"), F.lit(SALTS))), "rounds-rows")
+    # a row for every HOT rows at most
+    hot = materialize(rows.groupBy(least.alias("g")).agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("g", F.lit(True).alias("hot")), "rounds-hot")
+    salt = lambda o: F.when(F.col("hot"), F.pmod(F.xxhash64(o), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    left = materialize(slim.join(F.broadcast(hot), "g", "left").withColumn("salt", salt(F.col("o"))).drop("hot"), "rounds-rows")
     largest = left.agg(F.max("k")).first()[0] or 0
     most = largest if most is None else min(most, largest)
     # rows that are near to nothing are picks from the start
@@ -88,10 +92,10 @@ def rounds(rows: DataFrame, keys: list[str], score: str, ts: str, seq: str, k: C
     while most:
         best = left.groupBy("g", "c").agg(F.min("o").alias("o"))
         around = best.select("g", F.explode(F.array(*[F.col("c") + d for d in (-1, 0, 1)])).alias("c"), "o").groupBy("g", "c").agg(F.min("o").alias("least"))
-        now = best.join(around, ["g", "c"]).where("o = least").join(left, ["g", "c", "o"]).select("g", "o", "t", "k")
+        now = best.join(around.hint("merge"), ["g", "c"]).where("o = least").join(left.hint("merge"), ["g", "c", "o"]).select("g", "o", "t", "k")
         before, held = held, materialize(_first(picks.unionByName(now), most), "rounds-picks")
         picks = held
-        after = left.join(_salted(held), ["g", "salt"], "left").where((F.coalesce(F.size("ps"), F.lit(0)) < F.col("k")) | (F.col("o") < F.element_at("ps", -1)["o"]))
+        after = left.join(_salted(held, hot).hint("merge"), ["g", "salt"], "left").where((F.coalesce(F.size("ps"), F.lit(0)) < F.col("k")) | (F.col("o") < F.element_at("ps", -1)["o"]))
         after = after.where(~near(F.col("t"), F.transform("ps", lambda p: p["t"]), gap)).select(*left.columns)
         gone, left = left, materialize(after, "rounds-rows")
         n = left.count()
@@ -104,8 +108,10 @@ def rounds(rows: DataFrame, keys: list[str], score: str, ts: str, seq: str, k: C
     if held is None:
         return _named(rows.withColumn("_p", F.lit(-1)))
     o = ordered(score, seq)
-    joined = rows.withColumns({"_k": limit, "_g": least, "_salt": F.pmod(F.xxhash64(o), F.lit(SALTS))})
-    joined = joined.join(_salted(held).select(F.col("g").alias("_g"), F.col("salt").alias("_salt"), F.col("ps").alias("_ps")), ["_g", "_salt"], "left").drop("_g", "_salt")
+    marks = hot.select(F.col("g").alias("_g"), F.col("hot").alias("_hot"))
+    joined = rows.withColumns({"_k": limit, "_g": least}).join(F.broadcast(marks), "_g", "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(o), F.lit(SALTS))).otherwise(F.lit(0).cast("long")))
+    met = _salted(held, hot).select(F.col("g").alias("_g"), F.col("salt").alias("_salt"), F.col("ps").alias("_ps"))
+    joined = joined.join(met.hint("merge"), ["_g", "_salt"], "left").drop("_g", "_salt", "_hot")
     ps = F.coalesce("_ps", F.array().cast("array<" + held.select(F.struct("o", "t").alias("p")).schema["p"].dataType.simpleString() + ">"))
     place = F.array_position(F.transform(ps, lambda p: p["o"]), o).cast("int")
     before = F.filter(ps, lambda p: p["o"] < o)
@@ -122,10 +128,11 @@ def _first(picks: DataFrame, most: int) -> DataFrame:
     return picks.withColumn("_r", place).where((F.col("_r") <= most) & (F.col("_r") <= F.col("k"))).drop("_r")
 
 
-def _salted(held: DataFrame) -> DataFrame:
-    """(g, salt, ps): the picks of each group in order, once for each salt."""
-    found = held.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("o", "t"))).alias("ps"))  # k at most
-    return found.select("g", "ps", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+def _salted(held: DataFrame, hot: DataFrame) -> DataFrame:
+    """(g, salt, ps): the picks of each group in order, once for each salt of the group."""
+    found = held.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("o", "t"))).alias("ps")).join(F.broadcast(hot), "g", "left")  # k at most
+    last = F.when(F.col("hot"), F.lit(SALTS - 1)).otherwise(F.lit(0)).cast("long")
+    return found.select("g", "ps", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("salt"))
 
 
 def split(rows: DataFrame, keys: list[str], large: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -72,3 +72,15 @@ def test_claims_agree_with_a_loop(spark):
     for fold_rows in (1000, 0):
         got = select_frames.claim(df, 3, GAP, fold_rows=fold_rows).collect()
         assert {(r["video_id"], r["frame_id"], r["category"]): (r["outcome"], r["pick"]) for r in got} == want, fold_rows
+
+
+def test_picks_meet_small_groups_once(spark, monkeypatch):
+    held = spark.range(100).select(F.struct("id").alias("g"), F.struct("id").alias("o"), F.lit(1.0).alias("t"))
+    hot = spark.range(1).select(F.struct("id").alias("g"), F.lit(True).alias("hot"))
+    assert select_core._salted(held, hot).count() == 99 + select_core.SALTS
+    df = spark.createDataFrame(made(3, 300, [1, 2, None]), "video_id long, category string, seq long, score double, t double")
+    outcomes = []
+    for rows in (1000, 20):
+        monkeypatch.setattr(select_core, "HOT", rows)
+        outcomes.append({r["seq"]: (r["outcome"], r["pick"]) for r in select_core.rounds(df, ["video_id", "category"], "score", "t", "seq", F.lit(3), GAP).collect()})
+    assert outcomes[0] == outcomes[1]
