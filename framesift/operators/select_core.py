@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from framesift.operators.store import discard, materialize
 
 #: Parts in which a group of over HOT rows meets its picks; smaller ones meet them whole.
-SALTS, HOT = 64, 1_000_000
+SALTS, HOT = 64, 100_000
 OUTCOMES = ("selected", "rejected_insufficient_diversity", "not_top_ranked")
 
 
