@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framesift.llm.common import materialize, mix64, rolling, word_hashes, words
+from framesift.llm.common import hashed_words, materialize, mix64, rolling
 
 #: Cells of one shard's range, as a power of two: the least and the most, which one task holds as bytes.
 SHARD_BITS, MOST_BITS = 22, 26
@@ -52,15 +52,12 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a block's documents, as two 64-bit hashes each."""
-
-    def __init__(self, texts: list[str | None], width: int, cache):
-        self.words = [words(t) for t in texts]
-        sizes = np.array([len(w) for w in self.words], np.int64)
-        ends = np.cumsum(sizes)
-        h = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
-        for w, end in zip(self.words, ends):
-            h[end - len(w) : end] = cache.array(w, np.uint64)
+    """The windows of a block's documents (UTF-8, null as empty), as two 64-bit hashes each."""
+
+    def __init__(self, texts: list[bytes | None], width: int):
+        self.texts = [t or b"" for t in texts]
+        h, self.sizes = hashed_words(self.texts)
+        sizes, ends = self.sizes, np.cumsum(self.sizes)
         self.width, self.starts_of, self.total = width, ends - sizes, len(h)
         last = np.repeat(ends, sizes)[: max(0, len(h) - width + 1)]
         self.at = np.flatnonzero(last - np.arange(len(last)) >= width)
@@ -82,7 +79,7 @@ class Windows:
         np.subtract.at(step, at + self.width, 1)
         gone = np.cumsum(step[:-1]) > 0
         removed, left = [], []
-        for w, start in zip(self.words, self.starts_of):
+        for w, start in zip(map(bytes.split, self.texts), self.starts_of):
             mask = gone[start : start + len(w)]
             removed.append(n := int(mask.sum()))
             left.append(b" ".join(w) if not n else b" ".join([x for x, m in zip(w, mask.tolist()) if not m]))
@@ -98,6 +95,21 @@ def _distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cells[at], np.diff(at, append=len(cells)) > 1
 
 
+def _placed(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order, and the place of each window's cell among them. Cell and window are sorted as one number while both fit."""
+    bits = len(cells).bit_length()
+    if len(cells) and int(cells.max()) >> 64 - bits:
+        order = np.argsort(cells)
+    else:
+        order = (np.sort(cells << np.uint64(bits) | np.arange(len(cells), dtype=np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    ordered = cells[order]
+    first = np.ones(len(cells), bool)
+    first[1:] = ordered[1:] != ordered[:-1]
+    place = np.empty(len(cells), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return ordered[first], place
+
+
 def _ranges(shards: np.ndarray):
     if len(shards):
         edge = np.flatnonzero(np.diff(shards)) + 1
@@ -130,7 +142,7 @@ class _Job:
 
     def sketch(self, docs: pa.Table) -> pa.Table:
         """Messages of a block: (block, shard, blob), a shard for each range of each row's cells."""
-        w = Windows(docs.column("text").to_pylist(), self.width, self.cache)
+        w = Windows(docs.column("text").cast(pa.binary()).to_pylist(), self.width)
         out = []
         for row in range(self.depth):
             found, twice = _distinct(w.cells(row, self.n_cells))
@@ -139,27 +151,13 @@ class _Job:
                 out.append((row * self.per_row + shard, pack(local[a:b])))
         return _messages(docs, out)
 
-    @property
-    def cache(self):
-        if not hasattr(self, "_cache"):
-            self._cache = word_hashes()
-        return self._cache
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_cache"}
-
     def estimated(self, w: Windows, replies: dict[int, bytes]) -> np.ndarray:
         """Windows whose cell holds two or more in every row."""
-        left = np.arange(len(w.at))
+        full = np.ones(len(w.at), bool)
         for row in range(self.depth):
-            cells = w.cells(row, self.n_cells)
-            found, _ = _distinct(cells)
-            full = found[_answers(found, (found >> np.uint64(self.bits)) + np.uint64(row * self.per_row), replies)]
-            if not len(full):
-                return left[:0]
-            mine = cells[left]
-            left = left[full[np.minimum(np.searchsorted(full, mine), len(full) - 1)] == mine]
-        return left
+            found, place = _placed(w.cells(row, self.n_cells))
+            full &= _answers(found, (found >> np.uint64(self.bits)) + np.uint64(row * self.per_row), replies)[place]
+        return np.flatnonzero(full)
 
     def suspects(self, w: Windows, replies: dict[int, bytes]):
         """Windows estimated repeated, their distinct fingerprints in order, whether each is twice here, shard of each, and place of each window's."""
@@ -174,20 +172,20 @@ class _Job:
         return which, found, n > 1, shards, place
 
     def fingerprints(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
-        w = Windows(docs.column("text").to_pylist(), self.width, self.cache)
+        w = Windows(docs.column("text").cast(pa.binary()).to_pylist(), self.width)
         _, found, twice, shards, _ = self.suspects(w, _bits(replies, 0))
         found = found.copy()
         found["b"] |= twice
         return _messages(docs, [(shard, found[a:b].tobytes()) for shard, a, b in _ranges(shards)])
 
     def removal(self, docs: pa.Table, replies: pa.Table) -> pa.Table:
-        w = Windows(docs.column("text").to_pylist(), self.width, self.cache)
+        w = Windows(docs.column("text").cast(pa.binary()).to_pylist(), self.width)
         which, found, _, shards, place = self.suspects(w, _bits(replies, 0))
         repeated = np.zeros(len(w.at), bool)
         repeated[which] = _answers(found, shards, _bits(replies, 1))[place]
         removed, left = w.kept(repeated)
         out = {c: docs.column(c) for c in self.columns}
-        out |= {"n_words": pa.array([len(x) for x in w.words], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(left, pa.binary()).cast(pa.string())}
+        out |= {"n_words": pa.array(w.sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(left, pa.binary()).cast(pa.string())}
         return pa.table(out)
 
 
