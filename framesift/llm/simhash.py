@@ -40,6 +40,17 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def set_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """The fingerprint of each set of 64-bit hashes, as signed 64-bit numbers; an empty set has zero."""
+    out = np.zeros(len(sets), np.int64)
+    for i, hashes in enumerate(sets):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 1 << 15):
+            ones += np.unpackbits(hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
+        out[i] = np.packbits(2 * ones > len(hashes)).view(">i8")[0]
+    return out
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit number."""
     kind = docs.schema["doc_id"].dataType

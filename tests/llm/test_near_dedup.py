@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from framesift.llm import near_dedup
+from framesift.llm.simhash import set_fingerprints
 
 SF = "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, lang string"
@@ -117,3 +118,33 @@ def test_sets_of_large_buckets_meet_in_blocks(spark, monkeypatch, common):
     assert max(map(len, groups.values())) <= 20
     copies = {s: sum(r["s"] == s for r in got) / 2 for s in (0, 99)}
     assert copies[0] == -(-(100 - common) // 4) and copies[99] == -(-common // 4) + copies[0] - 1
+
+
+def test_every_pair_within_the_radius_meets_in_a_table():
+    """The stage's SimHash step: sets whose fingerprints differ in up to RADIUS bits share a covering table's key, unlike ones share none."""
+    r = random.Random(2)
+    texts = []
+    for _ in range(40):
+        words = [f"w{r.randrange(10**6)}" for _ in range(1500)]
+        texts += [" ".join(words), " ".join(words[:700] + ["Other"] + words[701:])]
+    sets = near_dedup.shingle_sets(texts, 5)
+    fps, keys = set_fingerprints(sets).view("u8"), near_dedup.table_keys(sets)
+    for fp, hashes in zip(fps[:4].tolist(), sets):
+        assert fp == sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes.tolist()) > len(hashes))
+    near = 0
+    for a in range(80):
+        for b in range(a):
+            differ = (int(fps[a]) ^ int(fps[b])).bit_count()
+            meet = bool((keys[a] == keys[b]).any())
+            near += differ <= near_dedup.RADIUS
+            assert meet if differ <= near_dedup.RADIUS else differ < 30 or not meet
+    assert near >= 20
+    assert not near_dedup.table_keys(near_dedup.shingle_sets([None, ""], 5)).any()
+
+
+def test_rows_have_keys_of_simhash_tables_and_of_bands(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, None)], "row long, text string")
+    sets = near_dedup.shingle_sets(["one two three four five six", None], 5)
+    got = {r["row"]: r["keys"] for r in near_dedup._marked(docs, 5).collect()}
+    for row, tables, bands in zip((1, 2), near_dedup.table_keys(sets).tolist(), near_dedup.band_keys(sets).tolist()):
+        assert got[row] == tables + bands
