@@ -136,3 +136,17 @@ def test_frame_documents_fan_out_once(spark, tmp_path):
     (source / "b.txt").write_text(line(2))
     go("checkpoint")
     assert [len(state()[t]) for t in tables] == [3, 6, 3, 3, 2]
+
+
+def test_state_of_many_videos_is_kept_in_few_parts(spark, tmp_path):
+    """State does not have an entry a video, and ids that read alike when put together stay apart."""
+    odd = [("a", "=b=c"), ("a=b", "=c"), ("a=b=c", None), (None, "a"), ("null", "a"), ("a", None), ("a", "null"), ("", "")]
+    rows = [(v, f, 1.0, moment(0)) for v, f in [(str(i), "0") for i in range(300)] + odd]
+    schema = EVENTS.replace("long", "string")
+    feed(spark, f"{tmp_path}/in", rows + rows[150:], schema)
+    found = streams.dedup_frames(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), parts=4)
+    query = found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = [tuple(r) for r in spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, rows))
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 4 * 4
