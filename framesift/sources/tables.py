@@ -51,7 +51,8 @@ PROBE_JSON = """
 def parse_frames(lines: DataFrame, column: str = "value") -> DataFrame:
     """Frames from JSON text, a frame a row. Broken text and frames without `selections` are left out; missing fields get defaults."""
     f = F.from_json(column, FRAME_JSON, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    rows = lines.select(f.alias("f")).select("f.*").where("_corrupt_record is null and selections is not null").drop("_corrupt_record")
+    # `inline` makes its columns once; conditions on a plain struct of them would parse the text again, each of them
+    rows = lines.select(F.inline(F.array(f))).where("_corrupt_record is null and selections is not null").drop("_corrupt_record")
     return with_defaults(rows)
 
 
@@ -101,6 +102,13 @@ def child(frames: DataFrame, column: str) -> DataFrame:
     return out.select("*", *[F.col("bbox")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]).drop("bbox") if "bbox" in out.columns else out
 
 
+def boxes(frames: DataFrame, **kinds: str) -> DataFrame:
+    """The rows of several arrays of detections by one pass: video_id, frame_id, kind, its place `idx`, x1, y1, x2, y2, conf. kinds: the column of each kind."""
+    at = ("x1", "y1", "x2", "y2")
+    one = lambda kind: lambda e, i: F.struct(F.lit(kind).alias("kind"), i.alias("idx"), *[F.get(e["bbox"], F.lit(k)).alias(c) for k, c in enumerate(at)], e["confidence"].alias("conf"))
+    return frames.select("video_id", "frame_id", F.inline(F.concat(*[F.transform(column, one(kind)) for kind, column in kinds.items()])))
+
+
 def persons(frames: DataFrame) -> DataFrame:
     """One row a person of a frame: video_id, frame_id, person_id, its face, body, head pose and quality. An unknown face or body is null."""
     out = frames.select("video_id", "frame_id", F.explode("persons").alias("p")).select("video_id", "frame_id", "p.*")
