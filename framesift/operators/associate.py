@@ -115,6 +115,11 @@ def best_detection(detections: DataFrame, keys: list[str], value: Column) -> Dat
     return detections.groupBy(*keys).agg(F.max_by(value, F.struct("conf", (-F.col("idx")).alias("i"))).alias("best"))
 
 
+def marked_refs(refs: DataFrame, found: DataFrame) -> DataFrame:
+    """References (video_id, frame_id, person_id) with their person's columns and whether there is one (`known`), by a single join, so that persons are made once."""
+    return refs.join(found.withColumn("known", F.lit(True)), [*FRAME, "person_id"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def resolve_refs(refs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """References (video_id, frame_id, person_id) with their persons, and those without one."""
     keys = [*FRAME, "person_id"]

@@ -25,3 +25,11 @@ def test_documents_are_parsed_once(spark):
         want += [(kind, r["idx"], r["x1"], r["y1"], r["x2"], r["y2"], r["confidence"]) for r in tables.child(frames, column).collect()]
     got = [tuple(r) for r in found.drop("video_id", "frame_id").collect()]
     assert len(got) > 1 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_references_meet_persons_once(spark):
+    found = spark.createDataFrame([(1, 1, 0, 0.5), (1, 1, 1, None), (2, 1, 0, 0.7)], "video_id long, frame_id long, person_id int, quality double")
+    refs = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (1, 1, 2), (None, 1, 0)], "video_id long, frame_id long, person_id int")
+    got = associate.marked_refs(refs, found)
+    assert plan(got).count("Join ") == 1
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, 1, 0, 0.5, True), (1, 1, 1, None, True), (1, 1, 2, None, False), (None, 1, 0, None, False)]))
