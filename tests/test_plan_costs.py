@@ -33,3 +33,17 @@ def test_references_meet_persons_once(spark):
     got = associate.marked_refs(refs, found)
     assert plan(got).count("Join ") == 1
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, 1, 0, 0.5, True), (1, 1, 1, None, True), (1, 1, 2, None, False), (None, 1, 0, None, False)]))
+
+
+def test_landmarks_and_keypoints_are_not_shuffled(spark):
+    point = "struct<x:double,y:double>"
+    faces = spark.createDataFrame([(1, 10, 10, 110, 110, 0.8, [(0.0, 0.0), (60.0, 0.0), (0.0, 0.0), (0.0, 0.0), (0.0, 0.0)], 1000, 1000), (2, 0, 0, 10, 10, 0.5, None, 1000, 1000)], f"k int, {BOX}, conf double, landmarks array<{point}>, width int, height int")
+    bodies = spark.createDataFrame([(1, {"left_shoulder": (500.0, 1.0, 0.9), "right_shoulder": (100.0, 1.0, 0.9)})], "k int, keypoints map<string,struct<x:double,y:double,conf:double>>")
+    got = closeups.detect(faces.repartition(2), bodies.repartition(2), ["k"])
+    join = got._jdf.queryExecution().optimizedPlan()
+    while join.nodeName() != "Join":
+        join = join.children().head()
+    assert not {"landmarks", "keypoints"} & {join.output().apply(i).name() for i in range(join.output().size())}
+    rows = {r["k"]: r for r in got.collect()}
+    assert (rows[1]["iod"], rows[1]["shoulder_ratio"], rows[1]["shot_type"], rows[1]["face_ratio"]) == (60.0, 0.4, "medium_closeup", 0.01)
+    assert (rows[2]["iod"], rows[2]["shoulder_ratio"], rows[2]["shot_type"]) == (None, None, "wide_shot")
