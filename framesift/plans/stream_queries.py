@@ -50,11 +50,11 @@ add("stream_ingest_detections", _ingest, "select event_id, user_id, event_type,
 
 def _documents(spark, sf_dir):
     """Faces and poses of frame documents that came as a stream of lines, some of them broken."""
-    from framesift.plans.table_queries import lines
+    from framesift.plans.table_queries import FRAME, lines
     from framesift.sources import tables
 
     source, target, checkpoint = _new(spark, "documents"), _new(spark, "frames"), _new(spark, "checkpoint")
-    lines(load(spark, sf_dir, "v_detections")).write.text(source)
+    lines(load(spark, sf_dir, "v_detections", FRAME)).write.text(source)
     for _ in range(2):  # the second run finds nothing new
         streams.ingest_frames(spark, source, target, checkpoint).awaitTermination()
     kind = lambda name, of: spark.read.parquet(f"{target}/{name}").select("video_id", F.col("frame_id").cast("long").alias("frame_id"), F.lit(of).alias("kind"), "idx", "x1", "y2", F.col("confidence").alias("conf"))

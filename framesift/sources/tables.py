@@ -96,9 +96,11 @@ def with_defaults(rows: DataFrame) -> DataFrame:
     return rows.withColumns(new)
 
 
-def child(frames: DataFrame, column: str) -> DataFrame:
-    """One row an element: video_id, frame_id, its place `idx`, its fields; a box becomes x1, y1, x2, y2."""
-    out = frames.select("video_id", "frame_id", F.posexplode(column).alias("idx", "e")).select("video_id", "frame_id", "idx", "e.*")
+def child(frames: DataFrame, column: str, fill: bool = False) -> DataFrame:
+    """One row an element: video_id, frame_id, its place `idx`, its fields; a box becomes x1, y1, x2, y2. fill: missing fields get defaults, as with_defaults gives them to whole lists, at less cost."""
+    out = frames.select("video_id", "frame_id", F.posexplode(column).alias("idx", "e"))
+    e = _filled(F.col("e"), frames.schema[column].dataType.elementType, DEFAULTS[column]) if fill else F.col("e")
+    out = out.select("video_id", "frame_id", "idx", e.alias("e")).select("video_id", "frame_id", "idx", "e.*")
     return out.select("*", *[F.col("bbox")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))]).drop("bbox") if "bbox" in out.columns else out
 
 
@@ -126,20 +128,22 @@ def _listed(df: DataFrame, name: str, order: Column, known: dict[str, Column]) -
     one = F.struct(*[known.get(f.name, F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in _fields(name)])
     rows = F.collect_list(F.when(order.isNotNull(), F.struct(order.alias("o"), one.alias("e"))))
     placed = F.array_sort(rows, lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
-    return F.transform(placed, lambda x: x["e"]).alias(name)
+    return placed["e"].alias(name)
 
 
-def nest(frames: DataFrame, detections: DataFrame, head_poses: DataFrame | None = None, closeups: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
+def nest(frames: DataFrame | None, detections: DataFrame, head_poses: DataFrame | None = None, closeups: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
     """Frames with the rows of their child tables as arrays in list order, in the document's form.
 
-    All have video_id and frame_id. detections: kind, idx, x1, y1, x2, y2, conf, and landmarks, keypoints, pose_classifications where
+    frames: None stands for the frames that have detections, which takes no join. All have video_id and frame_id. detections: kind, idx, x1, y1, x2, y2, conf, and landmarks, keypoints, pose_classifications where
     known. head_poses and closeups: idx, and fields of theirs. people: person_id, face_idx, body_idx (places among the
     frame's detections, null if unknown), face_quality, body_quality, overall.
     """
     key = ["video_id", "frame_id"]
     box = {"bbox": F.array("x1", "y1", "x2", "y2"), "confidence": F.col("conf"), "area": (F.col("x2") - F.col("x1")).cast("long") * (F.col("y2") - F.col("y1"))}
     side = lambda name, kind: _listed(detections, name, F.when(F.col("kind") == kind, F.col("idx")), box)
-    out = frames.join(detections.groupBy(*key).agg(side("face_detections", "face"), side("pose_detections", "body")), key, "left")
+    out = detections.groupBy(*key).agg(side("face_detections", "face"), side("pose_detections", "body"))
+    if frames is not None:
+        out = frames.join(out, key, "left")
     for name, rows in (("head_poses", head_poses), ("closeup_detections", closeups)):
         if rows is not None:
             out = out.join(rows.groupBy(*key).agg(_listed(rows, name, F.col("idx"), {})), key, "left")
@@ -170,7 +174,9 @@ def as_json(frames: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """The columns `carry` (by default the keys) and a line of JSON a frame of all other columns, the default keys included, with nulls. Confidences of classifications are numbers, as the documents have them."""
     fields = [c for c in frames.columns if c not in (carry or [])]
     text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) if c == "frame_id" else c for c in fields]), {"ignoreNullFields": "false"})
-    return frames.select(*(carry or ["video_id", "frame_id"]), F.regexp_replace(text, r'\["([A-Za-z_]+)","([-+0-9.eE]+)"\]', r'["$1",$2]').alias("value"))
+    number = F.regexp_replace("value", r'\["([A-Za-z_]+)","([-+0-9.eE]+)"\]', r'["$1",$2]')
+    rows = frames.select(*(carry or ["video_id", "frame_id"]), text.alias("value"))
+    return rows.withColumn("value", F.when(F.contains("value", F.lit('["')), number).otherwise(F.col("value")))
 
 
 def write_frames(frames: DataFrame, path: str) -> None:

@@ -31,13 +31,17 @@ def ingest_frames(spark: SparkSession, source: str, target: str, checkpoint: str
     def each(batch: DataFrame, number: int):
         with scratch(spark):
             read = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-            lines = materialize(batch.where(F.trim("value") != "").select("value", F.from_json("value", tables.FRAME_JSON, read).alias("f")), "frame-lines")
+            # `inline` makes f once; conditions on f itself would parse the text again, each of them
+            parsed = batch.where(F.trim("value") != "").select("value", F.inline(F.array(F.struct(F.from_json("value", tables.FRAME_JSON, read).alias("f")))))
             wrong = F.when(F.col("f").isNull() | F.col("f._corrupt_record").isNotNull(), "not a frame document").when(F.col("f.selections").isNull(), "no selections")
-            marked = lines.withColumn("error", wrong)
-            frames = tables.with_defaults(marked.where("error is null").select("f.*").drop("_corrupt_record"))
+            # columns of their own, so that each table reads what it has; only quarantine wants the text
+            marked = parsed.withColumn("error", wrong).select(F.when(F.col("error").isNotNull(), F.col("value")).alias("framesift_text"), F.col("error").alias("framesift_error"), "f.*")
+            lines = materialize(marked.drop("_corrupt_record"), "frame-lines")
+            frames = lines.where("framesift_error is null").drop("framesift_text", "framesift_error")
+            wrong_lines = lines.where("framesift_error is not null").select(F.col("framesift_text").alias("value"), F.col("framesift_error").alias("error"))
             found = {
-                "frames": frames.drop("face_detections", "pose_detections", "persons"), "faces": tables.child(frames, "face_detections"), "poses": tables.child(frames, "pose_detections"),
-                "persons": tables.persons(frames), "quarantine": marked.where("error is not null").select("value", "error"),
+                "frames": tables.with_defaults(frames).drop("face_detections", "pose_detections", "persons"), "faces": tables.child(frames, "face_detections", fill=True),
+                "poses": tables.child(frames, "pose_detections", fill=True), "persons": tables.persons(frames), "quarantine": wrong_lines,
             }
             for name, rows in found.items():
                 rows.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")

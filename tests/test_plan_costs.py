@@ -1,11 +1,15 @@
-"""What plans must not do: parse a text more than once, make persons twice, shuffle what a figure is taken from."""
+"""What plans must not do: parse a text more than once, make persons twice, shuffle what a figure is taken from or rows that lie together."""
 
 import json
 
 from pyspark.sql import functions as F
 
 from framesift.operators import associate, closeups
+from framesift.plans.table_queries import FRAME as FRAME_COLUMN
+from framesift.plans.table_queries import lines
 from framesift.sources import tables
+from framesift.streaming import streams
+from framesift.views import load
 from tests.test_frame_json import FRAME
 
 BOX = "x1 int, y1 int, x2 int, y2 int"
@@ -47,3 +51,41 @@ def test_landmarks_and_keypoints_are_not_shuffled(spark):
     rows = {r["k"]: r for r in got.collect()}
     assert (rows[1]["iod"], rows[1]["shoulder_ratio"], rows[1]["shot_type"], rows[1]["face_ratio"]) == (60.0, 0.4, "medium_closeup", 0.01)
     assert (rows[2]["iod"], rows[2]["shoulder_ratio"], rows[2]["shot_type"]) == (None, None, "wide_shot")
+
+
+def test_frames_are_nested_after_one_shuffle(spark, tmp_path):
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double"
+    rows = [(o, n, 7 * o + n, 3 * o + n, float(n), 10.0 * n, 0.01 * n) for o in range(30) for n in range(1, 6)]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = load(spark, str(tmp_path), "v_detections", FRAME_COLUMN)
+    made = lines(found)
+    physical = made._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning(") == 1 and "Join" not in physical and plan(made).lower().count("structstojson") == 1
+    assert sorted(map(str, found.collect())) == sorted(map(str, load(spark, str(tmp_path), "v_detections").collect()))
+    keys = found.select("video_id", "frame_id").distinct()
+    assert sorted(map(str, tables.nest(None, found).collect())) == sorted(map(str, tables.nest(keys, found).collect()))
+
+
+def test_ingest_keeps_the_text_of_wrong_lines_only(spark, tmp_path, monkeypatch):
+    kept = []
+    write = streams.materialize
+
+    def materialize(df, name):
+        kept.append((plan(df).count("from_json("), out := write(df, name), [r.asDict() for r in out.collect()]))
+        return out
+
+    monkeypatch.setattr(streams, "materialize", materialize)
+    (tmp_path / "in").mkdir()
+    bare = json.dumps({"frame_id": "bare", "selections": {}, "face_detections": [{}, None, {"bbox": [1, 2, 3, 4]}], "pose_detections": [{"confidence": 0.5}]})
+    (tmp_path / "in" / "a.txt").write_text("\n".join([json.dumps(FRAME), bare, "{broken", " ", "\t", json.dumps({"frame_id": "x"})]))
+    streams.ingest_frames(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    [(parsed, table, rows)] = kept
+    assert parsed == 1 and {"frame_id", "face_detections"} < set(table.columns) and "value" not in table.columns
+    read = lambda t: spark.read.parquet(f"{tmp_path}/out/{t}").drop("batch")
+    wrong = {("{broken", "not a frame document"), ("\t", "not a frame document"), (json.dumps({"frame_id": "x"}), "no selections")}
+    assert {(r["framesift_text"], r["framesift_error"]) for r in rows} == wrong | {(None, None)} and {tuple(r) for r in read("quarantine").collect()} == wrong
+    frames = tables.parse_frames(spark.createDataFrame([(json.dumps(FRAME),), (bare,)], "value string"))
+    for name, column in (("faces", "face_detections"), ("poses", "pose_detections")):
+        want = tables.child(frames, column)
+        assert read(name).columns == want.columns and sorted(map(str, read(name).collect())) == sorted(map(str, want.collect()))
+    assert sorted(map(str, read("frames").collect())) == sorted(map(str, frames.drop("face_detections", "pose_detections", "persons").collect()))
