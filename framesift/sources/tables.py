@@ -6,7 +6,7 @@ import hashlib
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,14 +123,30 @@ def _fields(name: str) -> list[T.StructField]:
     return T.StructType.fromDDL(FRAME_JSON)[name].dataType.elementType.fields
 
 
+def _one(df: DataFrame, name: str, known: dict[str, Column]) -> Column:
+    """A row of df as an element of the array `name` of a document. Fields come from `known`, from columns of their name, or are null."""
+    return F.struct(*[known.get(f.name, F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in _fields(name)])
+
+
 def _listed(df: DataFrame, name: str, order: Column, known: dict[str, Column]) -> Column:
-    """The rows of df with an `order`, in it, as the array `name` of a document. Fields come from `known`, from columns of their name, or are null."""
-    one = F.struct(*[known.get(f.name, F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in _fields(name)])
-    rows = F.collect_list(F.when(order.isNotNull(), F.struct(order.alias("o"), one.alias("e"))))
+    """The rows of df with an `order`, in it, as the array `name` of a document."""
+    rows = F.collect_list(F.when(order.isNotNull(), F.struct(order.alias("o"), _one(df, name, known).alias("e"))))
     placed = F.array_sort(rows, lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
     return placed["e"].alias(name)
 
 
+def _both_lists(detections: DataFrame, key: list[str], known: dict[str, Column], piece: int = 256) -> DataFrame:
+    """The faces and bodies of each frame as arrays in the order of `idx`, after one sort. Pieces of some rows are listed first and then put together, as a window of all rows makes its list for each of them."""
+    kinds = {"face_detections": "face", "pose_detections": "body"}
+    rows = Window.partitionBy(*key).orderBy("idx")
+    lists = [F.collect_list(F.when((F.col("kind") == kind) & F.col("idx").isNotNull(), _one(detections, name, known))).over(rows.rowsBetween(0, piece - 1)).alias(name) for name, kind in kinds.items()]
+    pieces = detections.select(*key, "idx", *lists, F.row_number().over(rows).alias("_n")).where(F.col("_n") % piece == 1)
+    whole = rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = pieces.select(*key, "_n", *kinds, *[F.collect_list(F.when(F.col("_n") > 1, F.struct("_n", F.col(name).alias("e")))).over(whole).alias(f"_{name}") for name in kinds]).where("_n = 1")
+    in_order = lambda c: F.flatten(F.array_sort(c, lambda a, b: F.when(a["_n"] < b["_n"], -1).otherwise(1))["e"])
+    return first.select(*key, *[F.when(F.size(f"_{name}") == 0, F.col(name)).otherwise(F.concat(name, in_order(F.col(f"_{name}")))).alias(name) for name in kinds])
+
+
 def nest(frames: DataFrame | None, detections: DataFrame, head_poses: DataFrame | None = None, closeups: DataFrame | None = None, people: DataFrame | None = None) -> DataFrame:
     """Frames with the rows of their child tables as arrays in list order, in the document's form.
 
@@ -140,8 +156,7 @@ def nest(frames: DataFrame | None, detections: DataFrame, head_poses: DataFrame
     """
     key = ["video_id", "frame_id"]
     box = {"bbox": F.array("x1", "y1", "x2", "y2"), "confidence": F.col("conf"), "area": (F.col("x2") - F.col("x1")).cast("long") * (F.col("y2") - F.col("y1"))}
-    side = lambda name, kind: _listed(detections, name, F.when(F.col("kind") == kind, F.col("idx")), box)
-    out = detections.groupBy(*key).agg(side("face_detections", "face"), side("pose_detections", "body"))
+    out = _both_lists(detections, key, box)
     if frames is not None:
         out = frames.join(out, key, "left")
     for name, rows in (("head_poses", head_poses), ("closeup_detections", closeups)):

@@ -89,3 +89,12 @@ def test_ingest_keeps_the_text_of_wrong_lines_only(spark, tmp_path, monkeypatch)
         want = tables.child(frames, column)
         assert read(name).columns == want.columns and sorted(map(str, read(name).collect())) == sorted(map(str, want.collect()))
     assert sorted(map(str, read("frames").collect())) == sorted(map(str, frames.drop("face_detections", "pose_detections", "persons").collect()))
+
+
+def test_frames_of_many_detections_are_nested_in_order(spark):
+    det = [(1, 5, kind, i * 37 % n, i * 37 % n, 0, 9, 9, 0.5) for kind, n in (("face", 1000), ("body", 300)) for i in range(n)]
+    det += [(1, 6, "face", None, 7, 0, 9, 9, 0.5), (None, 6, "body", 0, 3, 0, 9, 9, 0.5)]
+    det += [(1, 7, "face", i // 600, i // 600, 0, 9, 9, 0.5) for i in range(1200)]  # ties
+    det = spark.createDataFrame(det, f"video_id long, frame_id long, kind string, idx int, {BOX}, conf double").repartition(3)
+    got = {(r["video_id"], r["frame_id"]): [[e["bbox"][0] for e in r[c]] for c in ("face_detections", "pose_detections")] for r in tables.nest(None, det).collect()}
+    assert got == {(1, 5): [list(range(1000)), list(range(300))], (1, 6): [[], []], (None, 6): [[], [3]], (1, 7): [[0] * 600 + [1] * 600, []]}
