@@ -54,14 +54,16 @@ def leftover_pairs(detections: DataFrame, matched: DataFrame) -> DataFrame:
     return ranked("face").join(ranked("body"), [*FRAME, "rn"], "full_outer").select(*FRAME, "rn", "face_idx", "body_idx")
 
 
-def persons(detections: DataFrame) -> DataFrame:
+def persons(detections: DataFrame, box_quality: str | None = None) -> DataFrame:
     """Every face and body in one person: spatial pairs, then pairs by rank, then those alone. Initial quality from confidences.
 
     creation_seq is the order in which they arise: spatial pairs by distance, then the others by rank, pairs before faces before bodies.
     A frame holds what one image shows, so its detections are gathered by a single shuffle and matched as arrays.
+    box_quality: a column of detections that persons bring along as `face_quality` and `body_quality`, so that no join has to.
     """
     # idx follows the centre, so that the struct's own order is that of the ranks from left to right
-    box = F.struct(F.expr("x1 + x2").alias("cx2"), F.col("idx").cast("int").alias("idx"), F.expr("y1 + y2").alias("cy2"), "conf", *geometry.BOX)
+    own = [F.col(box_quality).alias("own")] if box_quality else []
+    box = F.struct(F.expr("x1 + x2").alias("cx2"), F.col("idx").cast("int").alias("idx"), F.expr("y1 + y2").alias("cy2"), "conf", *geometry.BOX, *own)
     side = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, box)))
     frames = detections.where(F.col("kind").isin("face", "body")).groupBy(*FRAME).agg(side("face").alias("faces"), side("body").alias("bodies"))
 
@@ -86,6 +88,7 @@ def persons(detections: DataFrame) -> DataFrame:
     return rows.select(
         *FRAME, "creation_seq", method.alias("method"), F.col("face.idx").alias("face_idx"), F.col("body.idx").alias("body_idx"), F.col("face.conf").alias("face_conf"),
         F.col("body.conf").alias("body_conf"), F.coalesce("body.cx2", "face.cx2").alias("cx2"), quality.alias("quality"),
+        *([F.col("face.own").alias("face_quality"), F.col("body.own").alias("body_quality")] if box_quality else []),
     )
 
 

@@ -22,6 +22,7 @@ def rank_within(rows: DataFrame, keys: list[str], order: list[Column], name: str
     # no group is larger than all rows of its first key, which are cheaper to count
     if over(keys[:1]).isEmpty() or (large := over(keys)).isEmpty():
         return rows.withColumn(name, alone)
+    large = F.broadcast(large)  # at most a row for every `whole` rows
     small = rows.join(large, keys, "left_anti").withColumn(name, alone)
     ranges = rows.join(large, keys, "left_semi").orderBy(*keys, *order).select(*rows.columns, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at"))
     ranges = materialize(ranges, "ranks")
@@ -31,5 +32,5 @@ def rank_within(rows: DataFrame, keys: list[str], order: list[Column], name: str
     parts = parts.withColumn("_before", F.coalesce(before, F.lit(0))).alias("p")
     same = reduce(lambda a, b: a & b, [F.col(f"r.{c}") == F.col(f"p.{c}") for c in [*keys, "_range"]])
     rank = (F.col("r._at") - F.col("p._first") + F.col("p._before") + 1).cast("int").alias(name)
-    found = ranges.alias("r").join(parts, same).select(*[F.col(f"r.{c}").alias(c) for c in rows.columns], rank)
+    found = ranges.alias("r").join(F.broadcast(parts), same).select(*[F.col(f"r.{c}").alias(c) for c in rows.columns], rank)
     return small.unionByName(found)

@@ -4,7 +4,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from framesift.operators import associate, closeups
+from framesift.operators import associate, closeups, quality, ranks
+from framesift.plans import person_queries
 from framesift.plans.table_queries import FRAME as FRAME_COLUMN
 from framesift.plans.table_queries import lines
 from framesift.sources import tables
@@ -98,3 +99,32 @@ def test_frames_of_many_detections_are_nested_in_order(spark):
     det = spark.createDataFrame(det, f"video_id long, frame_id long, kind string, idx int, {BOX}, conf double").repartition(3)
     got = {(r["video_id"], r["frame_id"]): [[e["bbox"][0] for e in r[c]] for c in ("face_detections", "pose_detections")] for r in tables.nest(None, det).collect()}
     assert got == {(1, 5): [list(range(1000)), list(range(300))], (1, 6): [[], []], (None, 6): [[], [3]], (1, 7): [[0] * 600 + [1] * 600, []]}
+
+
+def test_frame_quality_takes_one_shuffle_and_no_join(spark, tmp_path):
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double"
+    rows = [(o, n, 7 * o + n, 3 * o + n, float(n), 10.0 * n, 0.01 * n) for o in range(30) for n in range(1, 6)]
+    spark.createDataFrame(rows, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = load(spark, str(tmp_path), "v_detections", FRAME_COLUMN)
+    made = person_queries.rounded(found)
+    physical = made._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning(") == 1 and "Join" not in physical
+    # the same persons as with boxes that are joined
+    boxes = found.where("frame_id % 7 <> 0").select("video_id", "frame_id", "kind", "idx", F.least(F.lit(1.0), F.col("conf") * 1.1).alias("overall"))
+    want = quality.person_quality(associate.persons(found), boxes)
+    assert sorted(map(str, person_queries.scored(found).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_ranks_of_large_groups_shuffle_rows_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(ranks, "materialize", lambda df, name: plans.append(df) or df.localCheckpoint())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        rows = spark.createDataFrame([(g, i) for g, n in ((1, 50), (2, 3)) for i in range(n)], "g long, i long").localCheckpoint()
+        found = ranks.rank_within(rows, ["g"], [F.desc("i")], "rank", 10)
+        for made in (plans[0], found):
+            assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
+        assert {(r["g"], r["i"], r["rank"]) for r in found.collect()} == {(g, i, n - i) for g, n in ((1, 50), (2, 3)) for i in range(n)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
